@@ -130,7 +130,7 @@ class CategoryPrep(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
         )
         # The encoder reads its sizes from column metadata, no pass over data is needed.
         one_hot = OneHotEncoder(
-            inputCols=codes, outputCols=outputs, dropLast=True, handleInvalid="keep"
+            inputCols=codes, outputCols=outputs, dropLast=True
         )
         sample = index.transform(fill.transform(dataset.limit(0)))
         return PipelineModel(stages=[fill, index, one_hot.fit(sample)])

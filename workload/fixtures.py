@@ -40,6 +40,9 @@ SELECT event_id AS seq,
 FROM {events}
 """
 
+# The same log spread over many datasets, so that most lack some learner.
+SPARSE_LOG = BENCH_LOG.replace("user_id % 34", "CAST(floor(event_id / 14) AS BIGINT)")
+
 CATALOG = """
 SELECT p_partkey AS dataset_id, concat('ds_', CAST(p_partkey % 34 AS STRING)) AS dataset_name,
        CAST(floor(p_retailprice) AS BIGINT) - 450 AS n_samples,
@@ -103,7 +106,7 @@ FROM {supplier}
 """
 
 ALL = {
-    "bench_log": BENCH_LOG, "catalog": CATALOG, "profiles": PROFILES, "pred_cls": PRED_CLS,
+    "bench_log": BENCH_LOG, "sparse_log": SPARSE_LOG, "catalog": CATALOG, "profiles": PROFILES, "pred_cls": PRED_CLS,
     "pred_reg": PRED_REG, "dirty": DIRTY, "new_results": NEW_RESULTS,
 }
 
