@@ -344,7 +344,7 @@ def summary(
         F.sum("valid_wins").alias("valid_wins"),
         F.count(F.lit(1)).alias("pairs"),
         F.count_if(counted & col("model").isNotNull()).alias("learners_done"),
-        F.collect_set(F.when(col("model").isin(K.OFFICIAL_LEARNERS), col("model"))).alias("names"),
+        F.array_sort(_found_learners()).alias("names"),
     )
     totals = per_dataset.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),

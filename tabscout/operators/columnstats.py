@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.scalars import col
 
@@ -75,3 +75,20 @@ def one_row(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         merged = merged.unionByName(frame, allowMissingColumns=True)
     return merged.agg(*[F.max(col(c)).alias(c) for c in merged.columns])
+
+
+# Characters of text that may be brought to the driver at once.
+MAX_CHARACTERS = 64_000_000
+
+
+def bounded_collect(df: DataFrame, text: str, max_rows: int, message: str) -> list[Row]:
+    """Rows of a small frame, after checking that it is small; otherwise an error."""
+    held = df.persist()
+    try:
+        rows, characters = held.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+        if rows > max_rows or characters > MAX_CHARACTERS:
+            raise ValueError(f"{message} ({rows} values, {characters} characters)")
+        return held.collect()
+    finally:
+        held.unpersist()

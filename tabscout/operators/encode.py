@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import col
 from ..session import materialise
 
-# Dictionaries up to this many entries are ranked in one task and broadcast.
+# Dictionaries up to this many entries and characters are ranked in one task and broadcast.
 SMALL_DICTIONARY = 100_000
+SMALL_CHARACTERS = 16_000_000
 
 
 def value_dictionaries(
@@ -31,15 +32,17 @@ def value_dictionaries(
     distinct = materialise(
         df.select(F.inline(cells)).filter("value IS NOT NULL").distinct()
     )
-    sizes = {r[0]: r[1] for r in distinct.groupBy("column_name").count().collect()}
+    sizes = {r[0]: (r[1], r[2]) for r in distinct.groupBy("column_name").agg(
+        F.count(F.lit(1)), F.sum(F.length("value"))).collect()}
     result = {}
     for name in values:
         own = distinct.filter(F.col("column_name") == name).select("value")
-        if sizes.get(name, 0) <= small:
+        entries, characters = sizes.get(name, (0, 0))
+        if entries <= small and characters <= SMALL_CHARACTERS:
             codes = F.row_number().over(Window.orderBy("value")) - 1
             result[name] = own.select("value", codes.cast("double").alias("code")), True
         else:
-            result[name] = _ranked_by_range(own, sizes[name], small), False
+            result[name] = _ranked_by_range(own, entries, small), False
     return result
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import col
 
 
-def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Rows per pair of true and predicted class."""
-    return df.groupBy(col(label).alias("label"), col(prediction).alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def confusion(
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
+    """Rows per pair of true and predicted class, optionally per group as well."""
+    return df.groupBy(
+        *[col(b) for b in by], col(label).alias("label"), col(prediction).alias("prediction")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(
@@ -26,7 +30,7 @@ def confusion_matrix(
     return counts.groupBy("label").pivot("prediction", labels).sum("n").na.fill(0).orderBy("label")
 
 
-def per_class(counts: DataFrame) -> DataFrame:
+def per_class(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Support, predicted rows and hits of every class seen in truth or prediction."""
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
     sides = F.array(
@@ -36,7 +40,8 @@ def per_class(counts: DataFrame) -> DataFrame:
                  F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted"),
                  F.lit(0).cast("bigint").alias("hits")),
     )
-    totals = counts.select(F.inline(sides)).groupBy("class").agg(
+    groups = [col(b) for b in by]
+    totals = counts.select(*groups, F.inline(sides)).groupBy(*groups, "class").agg(
         *[F.sum(c).alias(c) for c in ("support", "predicted", "hits")]
     )
     return totals.withColumns({
@@ -55,9 +60,9 @@ def _weighted(metric: str) -> Column:
     return F.try_divide(F.sum(F.col(metric) * F.col("support")), F.sum("support"))
 
 
-def metrics_from_classes(classes: DataFrame) -> DataFrame:
-    """One row of summary metrics from the per-class table."""
-    return classes.agg(
+def metrics_from_classes(classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row of summary metrics, per group if any, from the per-class table."""
+    return classes.groupBy(*[col(b) for b in by]).agg(
         F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
         _weighted("f1_score").alias("f1_score"),
@@ -68,10 +73,10 @@ def metrics_from_classes(classes: DataFrame) -> DataFrame:
 
 
 def classification_metrics(
-    df: DataFrame, label: str = "label", prediction: str = "prediction"
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
     """Accuracy, balanced accuracy, weighted F1, precision and recall, and macro F1."""
-    return metrics_from_classes(per_class(confusion(df, label, prediction)))
+    return metrics_from_classes(per_class(confusion(df, label, prediction, by), by), by)
 
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

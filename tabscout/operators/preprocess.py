@@ -19,6 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import as_number, col, finite_or_null, quoted
+from .columnstats import bounded_collect
 from .profile import partition_columns
 from .quantiles import exact_quantiles
 
@@ -106,12 +107,9 @@ class CategoryPrep(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
             dataset.select(F.inline(cells)).filter("value IS NOT NULL")
             .groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
         )
-        seen = counts.limit(MAX_CATEGORIES + 1).collect()
-        if len(seen) > MAX_CATEGORIES:
-            raise ValueError(
-                f"columns {names} hold more than {MAX_CATEGORIES} categories; "
-                "encode or drop the widest first"
-            )
+        seen = bounded_collect(
+            counts, "value", MAX_CATEGORIES,
+            f"columns {names} hold too many categories; encode or drop the widest first")
         labels: list[list[str]] = [[] for _ in names]
         best: list[tuple] = [(0, "")] * len(names)
         for r in seen:

@@ -20,6 +20,7 @@ from .validate import require_columns
 # Rows of one class that may share a hash prefix, on average.
 _PREFIX_ROWS = 50_000
 _BROADCAST_CLASSES = 100_000
+_BROADCAST_CHARACTERS = 16_000_000
 
 
 def _hash(keys: Sequence[str], seed: int) -> Column:
@@ -32,9 +33,11 @@ def _digits(rows: int) -> int:
     return min(6, max(2, math.ceil(math.log(max(rows / _PREFIX_ROWS, 1), 16))))
 
 
-def _small(df: DataFrame, classes: int) -> DataFrame:
-    """Broadcast a one-row-per-class table when the class count allows."""
-    return F.broadcast(df) if classes <= _BROADCAST_CLASSES else df
+def _small(df: DataFrame, facts) -> DataFrame:
+    """Broadcast a one-row-per-class table when number and length of labels allow."""
+    fits = (facts["classes"] <= _BROADCAST_CLASSES
+            and facts["characters"] <= _BROADCAST_CHARACTERS)
+    return F.broadcast(df) if fits else df
 
 
 def mark_holdout(
@@ -63,6 +66,7 @@ def mark_holdout(
     facts = counts.agg(
         F.count(F.lit(1)).alias("classes"), F.min("n").alias("smallest"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum("base").alias("base"),
+        F.sum(F.length("_stratum")).alias("characters"),
     ).first()
     if facts["rows"] == 0:
         return df.withColumn(output, F.lit(False))
@@ -80,7 +84,7 @@ def mark_holdout(
         quota = quota + gets_one.cast("bigint")
     quotas = counts.select("_stratum", quota.alias("quota"))
 
-    digits, classes = _digits(facts["rows"]), facts["classes"]
+    digits = _digits(facts["rows"])
     hashed = df.withColumns({"_stratum": stratum, "_hash": _hash(keys, seed)})
     prefixes = (
         hashed.groupBy("_stratum", F.substring("_hash", 1, digits).alias("prefix"))
@@ -89,7 +93,7 @@ def mark_holdout(
     upto = F.sum("n").over(Window.partitionBy("_stratum").orderBy("prefix"))
     crossing = (
         prefixes.withColumn("upto", upto)
-        .join(_small(quotas, classes), "_stratum")
+        .join(_small(quotas, facts), "_stratum")
         .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select("_stratum", "prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("need"))
     )
@@ -97,7 +101,7 @@ def mark_holdout(
     rank = F.row_number().over(Window.partitionBy("_stratum").orderBy(*order))
     cuts = (
         hashed.select("_stratum", "_hash", *[col(k) for k in keys])
-        .join(_small(crossing, classes), "_stratum")
+        .join(_small(crossing, facts), "_stratum")
         .filter(F.substring("_hash", 1, digits) == F.col("prefix"))
         .withColumn("rank", rank)
         .filter(F.col("rank") == F.col("need"))
@@ -109,7 +113,7 @@ def mark_holdout(
         (F.col("_hash") == F.col("_cut_hash")) & (own_key <= F.col("_cut_key"))
     )
     return (
-        hashed.join(_small(cuts, classes), "_stratum", "left")
+        hashed.join(_small(cuts, facts), "_stratum", "left")
         .withColumn(output, F.coalesce(in_test, F.lit(False)))
         .drop("_stratum", "_hash", "_cut_hash", "_cut_key")
     )

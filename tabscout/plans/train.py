@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.names import gate
 from ..functions.scalars import col
 from ..operators import metrics
+from ..operators.columnstats import bounded_collect
 from ..operators.learners import make_learner
 from ..operators.prepare import drop_identifiers
 from ..operators.preprocess import LABEL, prep_stages
@@ -39,10 +40,10 @@ def class_labels(df: DataFrame, target: str) -> list[str]:
     """All labels as text, in the order of their original values."""
     counts = target_counts(df, target).filter("value IS NOT NULL")
     text = label_text("value", counts.schema["value"].dataType)
-    rows = counts.orderBy("value").select(text.alias("label")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes")
-    return [r["label"] for r in rows]
+    rows = bounded_collect(
+        counts.select("value", text.alias("label")), "label", MAX_CLASSES,
+        f"target {target!r} has too many classes")
+    return [r["label"] for r in sorted(rows, key=lambda r: r["value"])]
 
 
 def with_label(df: DataFrame, target: str, task: str, labels: list[str] | None) -> DataFrame:

@@ -11,11 +11,11 @@ from tabscout.operators import advise, metrics as M
 from tabscout.operators.learners import make_learner
 from tabscout.operators.neighbors import average, neighbours, vote
 from tabscout.operators.preprocess import FEATURES, LABEL
-from tabscout.operators.split import stratified_split
+from tabscout.operators.split import mark_holdout, stratified_split
 from tabscout.plans import selector as H, suite as U, train as R
 from tabscout.plans.recommend import recommend
 from tabscout.plans.score import predicted_value, prediction_distribution, score
-from tabscout.session import scratch_path
+from tabscout.session import materialise, scratch_path
 from tabscout.sources.artifacts import load_model, write_scores
 from tabscout.streaming.score_stream import read_stream, score_stream
 from tabscout.operators import benchlog as J
@@ -49,7 +49,9 @@ def holdout_metrics(learner, task, params=None):
         df, target, key = _source(spark, d, task)
         labels = R.class_labels(df, target) if task == "classification" else None
         rows = R.with_label(df, target, task, labels)
-        train, test = stratified_split(rows, LABEL if labels else None, key)
+        # Stored once: every pass of the fit reads it.
+        rows = materialise(mark_holdout(rows, LABEL if labels else None, key, output="ts_test"))
+        train, test = rows.filter(~F.col("ts_test")), rows.filter("ts_test")
         features = df.drop(target, key)
         model = R.build_pipeline(features, learner, task, params).fit(train)
         scored = model.transform(test)
@@ -148,8 +150,8 @@ def f21_run_suite(spark, d):
 
 def e02_cross_validate(spark, d):
     rows = U.cross_validate(
-        table(spark, d, "supplier"), "s_nationkey", "s_suppkey",
-        ["LogisticRegression", "DecisionTree"], params=SMALL_SUITE, dataset="supplier")
+        table(spark, d, "labels"), "quality", "doc_id",
+        ["LogisticRegression", "DecisionTree"], params=SMALL_SUITE, dataset="labels")
     return spark.createDataFrame(rows)
 
 
@@ -270,11 +272,11 @@ def j39_run_benchmark(spark, d):
 
     path = scratch_path(spark, "runs")
     specs = [
-        DatasetSpec("customer", "c_mktsegment", f"{d}/customer.parquet", task_id=1, dataset_id=1),
+        DatasetSpec("region", "r_name", f"{d}/region.parquet", task_id=1, dataset_id=1),
         DatasetSpec("labels", "quality", f"{d}/labels.parquet", task_id=2, dataset_id=2),
         DatasetSpec("broken", "no_such_column", f"{d}/orders.parquet", task_id=3, dataset_id=3),
     ]
-    keys = {"customer": "c_custkey", "labels": "doc_id", "broken": "o_orderkey"}
+    keys = {"region": "r_regionkey", "labels": "doc_id", "broken": "o_orderkey"}
     result, _ = U.run_benchmark(spark, specs, lambda s: keys[s.name], path, SMALL_SUITE)
     return result
 
@@ -356,9 +358,10 @@ QUERIES = {
         holdout_metrics("GradientBoosting", "classification", {"trees": 3, "depth": 3}), None),
     "f05_naive_bayes": (f05_naive_bayes, """
         WITH c AS (SELECT l_returnflag AS label, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lineitem)
-              AS prior, avg(l_quantity) AS m1, var_pop(l_quantity) AS v1,
-              avg(l_extendedprice) AS m2, var_pop(l_extendedprice) AS v2
-            FROM lineitem GROUP BY 1),
+              AS prior, avg(l_quantity) AS m1, var_pop(l_quantity) + e AS v1,
+              avg(l_extendedprice) AS m2, var_pop(l_extendedprice) + e AS v2
+            FROM lineitem, (SELECT 1e-9 * greatest(var_pop(l_quantity), var_pop(l_extendedprice))
+              AS e FROM lineitem) smooth GROUP BY 1, e),
         rows AS (SELECT row_number() OVER () AS i, l_returnflag, l_quantity AS x1,
               l_extendedprice AS x2 FROM lineitem),
         s AS (SELECT i, l_returnflag, label, ln(prior) - 0.5 * (ln(v1) + ln(v2)
