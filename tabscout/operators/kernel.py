@@ -92,18 +92,17 @@ class KernelClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultP
         label = self.getLabelCol()
         machine = LinearSVC(
             featuresCol="ts_fourier", labelCol=label, maxIter=self.getOrDefault(self.maxIter),
-            regParam=1.0 / n, standardization=False, rawPredictionCol="ts_margin")
+            regParam=1.0 / n, standardization=False)
         classes = dataset.select(F.max(label)).first()[0]
         if classes is not None and classes >= 2:
-            machine = OneVsRest(classifier=machine, featuresCol="ts_fourier", labelCol=label,
-                                rawPredictionCol="ts_margin")
+            machine = OneVsRest(classifier=machine, featuresCol="ts_fourier", labelCol=label)
         projected = mapped.transform(dataset.select(self.getFeaturesCol(), label)).persist()
         try:
             fitted = machine.fit(projected)
             stages = [mapped, fitted]
             if self.getOrDefault(self.probability):
                 platt = LogisticRegression(
-                    featuresCol="ts_margin", labelCol=label, predictionCol="ts_platt",
+                    featuresCol="rawPrediction", labelCol=label, predictionCol="ts_platt",
                     rawPredictionCol="ts_platt_raw", probabilityCol="probability")
                 stages.append(platt.fit(fitted.transform(projected)))
         finally:
