@@ -19,6 +19,7 @@ from ..operators.preprocess import LABEL, prep_stages
 from ..operators.profile import target_counts, type_class
 from ..operators.split import mark_holdout
 from ..operators.validate import drop_null_target, label_text, require_rows
+from ..session import hold_for_iteration
 from ..sources.artifacts import save_model
 from .recommend import recommend
 from .selector import Selector
@@ -70,6 +71,30 @@ def evaluate(scored: DataFrame, task: str) -> dict:
     return metrics.regression_metrics(scored, LABEL, "prediction").first().asDict()
 
 
+def _on_holdout(rows: DataFrame, shape: DataFrame, name: str, task: str, params) -> dict:
+    """Metrics of a learner fitted on the rows not marked for testing."""
+    fitted = build_pipeline(shape, name, task, params).fit(rows.filter(~F.col("ts_test")))
+    return evaluate(fitted.transform(rows.filter(F.col("ts_test"))), task)
+
+
+def holdout_scores(
+    df: DataFrame, target: str, key: str | list[str], learner: str, task: str,
+    params: Mapping | None = None,
+) -> dict:
+    """Holdout metrics of one learner on all columns but target and key."""
+    known = drop_null_target(df, target)
+    keys = [key] if isinstance(key, str) else list(key)
+    labels = class_labels(known, target) if task == "classification" else None
+    shape = df.drop(*[col(c) for c in (target, *keys)])
+    rows = hold_for_iteration(mark_holdout(
+        with_label(known, target, task, labels).drop(col(target)),
+        LABEL if labels else None, keys, output="ts_test"))
+    try:
+        return _on_holdout(rows, shape, learner, task, params)
+    finally:
+        rows.unpersist()
+
+
 def train_final(
     df: DataFrame,
     target: str,
@@ -97,16 +122,12 @@ def train_final(
     features = [c for c in df.columns if c != target and c not in removed]
     passing = list(dict.fromkeys([*features, *keys]))
     stratum = LABEL if task == "classification" else None
-    rows = mark_holdout(
-        labelled.select(*[col(c) for c in passing], LABEL), stratum, keys, output="ts_test"
-    ).persist()
+    rows = hold_for_iteration(mark_holdout(
+        labelled.select(*[col(c) for c in passing], LABEL), stratum, keys, output="ts_test"))
     try:
-        train = rows.filter(~F.col("ts_test"))
-        test = rows.filter(F.col("ts_test"))
         shape = df.select(*[col(c) for c in features])
-        fitted = build_pipeline(shape, name, task, params).fit(train)
-        scores = evaluate(fitted.transform(test), task)
-        held_out = test.count()
+        scores = _on_holdout(rows, shape, name, task, params)
+        held_out = rows.filter(F.col("ts_test")).count()
         final = build_pipeline(shape, name, task, params).fit(rows)
     finally:
         rows.unpersist()

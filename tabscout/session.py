@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_MANY_ROWS = 1_000_000
 
 
 def get_spark(app_name: str = "tabscout", master: str | None = None, **conf) -> SparkSession:
@@ -60,3 +61,21 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hold_for_iteration(df: DataFrame) -> DataFrame:
+    """Persist rows that many passes will read.
+
+    Iterative learners run one task per partition and pass, so many rows that came
+    in fewer partitions than there are cores are spread out first. Few rows gain
+    nothing, and large inputs have partitions enough; neither is shuffled. The
+    caller unpersists the result.
+    """
+    held = df.persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if held.count() < _MANY_ROWS or held.rdd.getNumPartitions() >= cores:
+        return held
+    spread = held.repartition(cores).persist()
+    spread.count()
+    held.unpersist()
+    return spread

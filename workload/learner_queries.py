@@ -7,15 +7,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabscout.functions import names as N
-from tabscout.operators import advise, metrics as M
+from tabscout.operators import advise
 from tabscout.operators.learners import make_learner
 from tabscout.operators.neighbors import average, neighbours, vote
 from tabscout.operators.preprocess import FEATURES, LABEL
-from tabscout.operators.split import mark_holdout, stratified_split
+from tabscout.operators.split import stratified_split
 from tabscout.plans import selector as H, suite as U, train as R
 from tabscout.plans.recommend import recommend
 from tabscout.plans.score import predicted_value, prediction_distribution, score
-from tabscout.session import materialise, scratch_path
+from tabscout.session import scratch_path
 from tabscout.sources.artifacts import load_model, write_scores
 from tabscout.streaming.score_stream import read_stream, score_stream
 from tabscout.operators import benchlog as J
@@ -47,17 +47,9 @@ def holdout_metrics(learner, task, params=None):
     """Fit on the training part of a whole table, score the held-out part."""
     def run(spark, d):
         df, target, key = _source(spark, d, task)
-        labels = R.class_labels(df, target) if task == "classification" else None
-        rows = R.with_label(df, target, task, labels)
-        # Stored once: every pass of the fit reads it.
-        rows = materialise(mark_holdout(rows, LABEL if labels else None, key, output="ts_test"))
-        train, test = rows.filter(~F.col("ts_test")), rows.filter("ts_test")
-        features = df.drop(target, key)
-        model = R.build_pipeline(features, learner, task, params).fit(train)
-        scored = model.transform(test)
-        found = (M.classification_metrics(scored, LABEL) if task == "classification"
-                 else M.regression_metrics(scored, LABEL))
-        return found.withColumn("learner", F.lit(learner))
+        scores = R.holdout_scores(df, target, key, learner, task, params)
+        return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumns(
+            {"learner": F.lit(learner), **{m: F.lit(v) for m, v in scores.items()}})
     return run
 
 
@@ -142,16 +134,15 @@ def f20_train_final(spark, d):
 
 
 def f21_run_suite(spark, d):
-    customer = table(spark, d, "customer")
-    rows = U.run_suite(customer, "c_mktsegment", "c_custkey", params=SMALL_SUITE,
-                       facts={"dataset_name": "customer", "dataset_id": 1})
+    rows = U.run_suite(table(spark, d, "labels"), "quality", "doc_id", params=SMALL_SUITE,
+                       facts={"dataset_name": "labels", "dataset_id": 1})
     return U.log_frame(spark, rows).select("model", "status", "accuracy", "n_samples")
 
 
 def e02_cross_validate(spark, d):
     rows = U.cross_validate(
         table(spark, d, "labels"), "quality", "doc_id",
-        ["LogisticRegression", "DecisionTree"], params=SMALL_SUITE, dataset="labels")
+        ["DecisionTree"], params=SMALL_SUITE, dataset="labels")
     return spark.createDataFrame(rows)
 
 
