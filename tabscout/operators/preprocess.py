@@ -122,10 +122,12 @@ class CategoryPrep(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
             f"coalesce(CAST({quoted(n)} AS STRING), {_text(best[i][1])}) AS {quoted(texts[i])}"
             for i, n in enumerate(names)
         ])
-        index = StringIndexerModel.from_arrays_of_labels(
-            [sorted(x) or [""] for x in labels], inputCols=texts, outputCols=codes,
-            handleInvalid="keep",
-        )
+        # One indexer per column: label lists of unequal length cannot share one.
+        index = PipelineModel(stages=[
+            StringIndexerModel.from_labels(
+                sorted(own) or [""], inputCol=text, outputCol=code, handleInvalid="keep")
+            for own, text, code in zip(labels, texts, codes)
+        ])
         # The encoder reads its sizes from column metadata, no pass over data is needed.
         one_hot = OneHotEncoder(
             inputCols=codes, outputCols=outputs, dropLast=True

@@ -50,6 +50,14 @@ def test_unknown_and_missing_categories(spark):
     assert got == [[1, 0, 0], [0, 0, 0], [0, 1, 0], [0, 0, 1]]
 
 
+def test_columns_with_unequal_category_counts(spark):
+    df = spark.createDataFrame([("a", "p"), ("b", "q"), ("c", "p")], "x string, y string")
+    model = CategoryPrep(inputCols=["x", "y"], outputCols=["h", "g"]).fit(df)
+    got = [(list(r[0].toArray()), list(r[1].toArray()))
+           for r in model.transform(df).select("h", "g").collect()]
+    assert got == [([1, 0, 0], [1, 0]), ([0, 1, 0], [0, 1]), ([0, 0, 1], [1, 0])]
+
+
 def test_constant_and_empty_numbers(spark):
     train = spark.createDataFrame([(2.0, None), (2.0, None)], "a double, b double")
     prep = NumericPrep(inputCols=["a", "b"], outputCols=["x", "y"])

@@ -28,19 +28,14 @@ from .profile_queries import rounded
 TARGETS = {
     "classification": ("orders", "o_orderstatus", "o_orderkey",
                        ["o_custkey", "o_totalprice", "o_orderpriority"]),
-    "regression": ("lineitem", "l_extendedprice", "row_key",
-                   ["l_quantity", "l_discount", "l_tax", "l_returnflag"]),
+    "regression": ("orders", "o_totalprice", "o_orderkey",
+                   ["o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]),
 }
 
 
 def _source(spark, d, task):
     name, target, key, features = TARGETS[task]
-    df = table(spark, d, name)
-    if task == "regression":
-        # Order and line number do not identify a row; all columns together do.
-        df = df.withColumn("row_key", F.sha2(F.concat_ws("|", *df.columns), 256)).dropDuplicates(
-            ["row_key"])
-    return df.select(key, target, *features), target, key
+    return table(spark, d, name).select(key, target, *features), target, key
 
 
 def holdout_metrics(learner, task, params=None):
