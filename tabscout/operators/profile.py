@@ -352,7 +352,8 @@ def unique_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Cells are compared as text in long form, so one shuffle serves all columns.
     """
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("cell"))
+        F.struct(F.lit(c).alias("column_name"),
+                 present(c, df.schema[c].dataType).cast("string").alias("cell"))
         for c in columns
     ])
     values = (

@@ -10,12 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.profile import DatasetSpec, target_counts
 from ..operators.validate import require_columns
 
-REGISTRY_COLUMNS = [
-    "dataset_id", "source", "source_dataset_id", "name", "n_samples", "n_features",
-    "target_column", "n_classes", "task_type", "included", "exclusion_reason",
-]
-
-
 def catalog_row(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """One dataset's row. ``n_features`` counts the target, as published catalogs do."""
     require_columns(df, [spec.target])

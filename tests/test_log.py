@@ -114,6 +114,13 @@ def test_complete_matrix(spark):
     assert J.missing_cells(full_log(spark, 3)).count() == 0
 
 
+def test_order(spark, data):
+    rows = J.ordered(J.read_checkpoint(table(spark, data, "bench_log"))).collect()
+    keys = [(r["dataset_id"] is None, r["dataset_id"] or 0, K.OFFICIAL_LEARNERS.index(r["model"]))
+            for r in rows]
+    assert keys == sorted(keys) and rows[-1]["dataset_id"] is None
+
+
 def test_best_cells_mix_rows(spark):
     log = spark.createDataFrame(
         [(0, "d", "a", 0.9, None), (1, "d", None, 0.95, 0.3), (2, "d", "c", None, 0.1)],

@@ -165,9 +165,8 @@ def j18(spark, d):
 
 
 def j19(spark, d):
-    """Order shown as a running position, checked against the SQL order."""
-    rows = J.ordered(runner_log(spark, d)).limit(20)
-    return rows.select("seq", "dataset_id", "model")
+    return J.ordered(runner_log(spark, d)).select(
+        "seq", "dataset_id", "model", J.model_position(F.col("model")).alias("position"))
 
 
 def j20(spark, d):
@@ -376,8 +375,8 @@ QUERIES = {
         SELECT seq, dataset_id, model FROM bench_log
         WHERE dataset_id = 5 AND {STRICT} = 'KNN'""")),
     "j19_ordered": (j19, on_log(f"""
-        WITH {LATEST} SELECT seq, dataset_id, model FROM last
-        ORDER BY dataset_id NULLS LAST, {ORDER}, seq LIMIT 20""")),
+        WITH {LATEST} SELECT seq, dataset_id, model, CAST({ORDER} AS BIGINT) AS position FROM last
+        ORDER BY dataset_id NULLS LAST, {ORDER}, seq""")),
     "j20_summary": (j20, on_log(f"""
         WITH {FINAL} {COUNTS},
           CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (WHERE status = 'success') AS successful,
