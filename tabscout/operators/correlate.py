@@ -70,7 +70,10 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                   (sums[0], sums[1], sums[2], sums[3], sums[3].T, sums[4])],
             ], names=["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
 
-    partial = cells.mapInArrow(
+    # A task emits a whole matrix, so there should be no more tasks than keep the
+    # cluster busy; partitions are merged in place, without a shuffle.
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    partial = cells.coalesce(tasks).mapInArrow(
         fold,
         "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double",
     )
