@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -81,3 +83,24 @@ def hold_for_iteration(df: DataFrame) -> DataFrame:
     spread.count()
     held.unpersist()
     return spread
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once, for clusters where the checkout is not installed.
+
+    In local mode the workers share the driver's path and nothing is sent.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local":
+        return
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="tabscout-"), "tabscout"), "zip",
+        os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
