@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import shard_ring, url_filter
+from . import packing, shard_ring, url_filter, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -110,7 +110,26 @@ def op2(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def _vocabulary(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6(spark, sf_dir):
+    path = wavelet.write_index(table(spark, sf_dir, "documents"),
+                               _vocabulary("word_bpe_49k.json"), end_id=2)
+    return wavelet.documents_of(spark, path)
+
+
+def op8(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"),
+                                  _vocabulary("byte_bpe_50k.json"), 1024, end_id=2)
+
+
 QUERIES = {
     "op1_url_filter": (op1, OP1_SQL),
     "op2_shard_ring": (op2, None),
+    "op6_wavelet_index": (op6, None),
+    "op8_best_fit_pack": (op8, None),
 }
