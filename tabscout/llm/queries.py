@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, shard_ring, url_filter, wavelet
+from . import language, packing, shard_ring, url_filter, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -116,6 +116,14 @@ def _vocabulary(name):
     return public_tokenizers.path(name)
 
 
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    shown = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.classify(shown, model, keep=("doc_id", "held_out")).select(
+        "row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
+
+
 def op6(spark, sf_dir):
     path = wavelet.write_index(table(spark, sf_dir, "documents"),
                                _vocabulary("word_bpe_49k.json"), end_id=2)
@@ -130,6 +138,7 @@ def op8(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": (op1, OP1_SQL),
     "op2_shard_ring": (op2, None),
+    "op4_language": (op4, None),
     "op6_wavelet_index": (op6, None),
     "op8_best_fit_pack": (op8, None),
 }
