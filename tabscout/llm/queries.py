@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, packing, shard_ring, url_filter, wavelet
+from . import jaccard_join, language, packing, shard_ring, url_filter, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -124,6 +124,10 @@ def op4(spark, sf_dir):
         "row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
+def op5(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6(spark, sf_dir):
     path = wavelet.write_index(table(spark, sf_dir, "documents"),
                                _vocabulary("word_bpe_49k.json"), end_id=2)
@@ -139,6 +143,7 @@ QUERIES = {
     "op1_url_filter": (op1, OP1_SQL),
     "op2_shard_ring": (op2, None),
     "op4_language": (op4, None),
+    "op5_jaccard_join": (op5, None),
     "op6_wavelet_index": (op6, None),
     "op8_best_fit_pack": (op8, None),
 }
