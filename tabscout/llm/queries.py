@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, packing, shard_ring, url_filter, wavelet
+from . import jaccard_join, language, line_templates, packing, pivot_index, shard_ring, url_filter, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -116,6 +116,57 @@ def _vocabulary(name):
     return public_tokenizers.path(name)
 
 
+def op3(spark, sf_dir):
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+_LEVEL = r"""
+top{k} AS (
+  SELECT node, max({{'docs': docs, 'masked': masked}}) AS top, sum(docs) AS seen FROM at{k} GROUP BY node),
+far{k} AS (
+  SELECT a.node, a.masked, a.docs, len(string_split(a.masked, ' ')) AS n,
+         list_filter(range(1, len(string_split(a.masked, ' ')) + 1), lambda i:
+           string_split(a.masked, ' ')[i] <> string_split(t.top.masked, ' ')[i]) AS off
+  FROM at{k} a JOIN top{k} t ON a.node = t.node AND t.seen >= 5),
+fit{k} AS (
+  SELECT masked, node AS template FROM far{k} WHERE len(off) <= floor(0.2 * greatest(n - 5, 0) + 1e-9)),
+at{next} AS (
+  SELECT list_append(node, CAST(off[1] AS VARCHAR) || ' ' || string_split(masked, ' ')[off[1]]) AS node,
+         masked, docs FROM far{k} WHERE len(off) > floor(0.2 * greatest(n - 5, 0) + 1e-9)),"""
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no,
+         unnest(string_split(text, chr(10))) AS line FROM documents),
+tokens AS (
+  SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line,
+    '[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*', '<*>', 'g'), '[\x09-\x0D\x20]+', ' ', 'g')) AS masked
+  FROM lines),
+placed AS (
+  SELECT *, list_concat([CAST(len(string_split(masked, ' ')) AS VARCHAR)],
+                        string_split(masked, ' ')[1:5]) AS node FROM tokens WHERE masked <> ''),
+at0 AS (
+  SELECT node, masked, count(DISTINCT doc_id) AS docs FROM placed
+  WHERE node IN (SELECT node FROM placed GROUP BY node HAVING count(DISTINCT doc_id) >= 5)
+  GROUP BY node, masked),
+""" + "".join(_LEVEL.format(k=k, next=k + 1) for k in range(3)) + """
+templates AS (
+  SELECT * FROM fit0 UNION ALL SELECT * FROM fit1 UNION ALL SELECT * FROM fit2
+  UNION ALL SELECT masked, list_append(node, masked) FROM at3),
+instances AS (
+  SELECT p.doc_id, p.line_no, t.template FROM placed p JOIN templates t USING (masked)),
+recurring AS (
+  SELECT template, min({'d': doc_id, 'l': line_no}) AS first FROM instances
+  GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
+gone AS (
+  SELECT doc_id, line_no FROM instances JOIN recurring USING (template)
+  WHERE doc_id <> first.d OR line_no <> first.l)
+SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_dropped,
+       coalesce(string_agg(CASE WHEN g.line_no IS NULL THEN line END, chr(10) ORDER BY l.line_no), '') AS text
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id
+"""
+
+
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
@@ -139,11 +190,17 @@ def op8(spark, sf_dir):
                                   _vocabulary("byte_bpe_50k.json"), 1024, end_id=2)
 
 
+def op10(spark, sf_dir):
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": (op1, OP1_SQL),
     "op2_shard_ring": (op2, None),
+    "op3_line_templates": (op3, OP3_SQL),
     "op4_language": (op4, None),
     "op5_jaccard_join": (op5, None),
     "op6_wavelet_index": (op6, None),
     "op8_best_fit_pack": (op8, None),
+    "op10_pivot_index": (op10, None),
 }

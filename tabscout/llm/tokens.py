@@ -10,10 +10,14 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 # Letters that are certain to be letters for every Unicode version, and the
 # ASCII characters that are none.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHERS = r"\x00-@\[-`{-\x7f"
+_MARKS = "".join(map(chr, [*range(33, 65), *range(91, 97), *range(123, 127)]))
+_BEYOND = "\u0250"
 _WORD_THEN_REST = re.compile(rf"( ?[{_LETTERS}]+)([{_OTHERS}].*)", re.S)
 _MARKS_THEN_LINE = re.compile(rf"([!-@\[-`{{-~]*\n)([{_LETTERS}].*)", re.S)
 
@@ -26,7 +30,7 @@ class PieceEncoder:
     encoded whole. At most ``most`` pieces of each kind are remembered.
     """
 
-    def __init__(self, path: str, end_id: int, drops_space: bool, most: int = 250_000):
+    def __init__(self, path: str, end_id: int, drops_space: bool, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,6 +38,10 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.end = array("I", [end_id]).tobytes()
         self.drops_space, self.most = drops_space, most
+        mark = (lambda t: t.endswith("</w>")) if drops_space else (lambda t: t.startswith("Ġ"))
+        vocabulary = self.tokenizer.get_vocab()
+        self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edges[[i for token, i in vocabulary.items() if mark(token)]] = True
         self.parts: dict[str, bytes] = {}
         self.first: dict[str, bytes | None] = {}
         self.after: dict[str, bytes | None] = self.first if drops_space else {}
@@ -42,6 +50,28 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, encoded side by side and told apart by the tokens.
+
+        Where the vocabulary drops white space, a word's last token has the word-end mark;
+        otherwise its first token has the space, and every word here begins with one.
+        """
+        out = []
+        for i in range(0, len(words), 2048):
+            some = words[i:i + 2048]
+            text = (" " if self.drops_space else "").join(some)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.edges[ids])
+            cuts = cuts + 1 if self.drops_space else np.append(cuts[1:], len(ids))
+            if len(cuts) != len(some):
+                out += self._batch(some)
+                continue
+            data, low = ids.tobytes(), 0
+            for high in (4 * cuts).tolist():
+                out.append(data[low:high])
+                low = high
+        return out
+
     def _cut(self, piece: str) -> list[str]:
         out = []
         while piece:
@@ -55,20 +85,32 @@ class PieceEncoder:
 
     def _learn(self, table: dict, words: list[str], prefix: str) -> list[str]:
         """Put ids of new words into the table; the sub-pieces to forget afterwards."""
-        cuts, fresh = {}, {}
+        known, plain, cuts = self.parts, [], {}
+        fresh: set[str] = set()
         for word in words:
-            if not self.drops_space and prefix and (
+            core = word.rstrip(_MARKS)
+            # Letters and then marks, by far the most usual piece.
+            if core.isalpha() and core[-1] < _BEYOND:
+                plain.append((word, prefix + core, word[len(core):]))
+            elif not self.drops_space and prefix and (
                     not word or word[0].isspace() or word[-1].isspace()):
                 table[word] = None
             else:
                 cuts[word] = self._cut(prefix + word)
-                for part in cuts[word]:
-                    if part not in self.parts:
-                        fresh[part] = None
-        self.parts.update(zip(fresh, self._batch(list(fresh)), strict=True))
+                fresh.update(cuts[word])
+        fresh.update({tail for _, _, tail in plain})
+        cores = {core for _, core, _ in plain} - fresh
+        new = [part for part in fresh if part not in known]
+        known.update(zip(new, self._batch(new), strict=True))
+        cores = [core for core in cores if core not in known]
+        side_by_side = prefix or self.drops_space
+        known.update(zip(
+            cores, (self._words if side_by_side else self._batch)(cores), strict=True))
+        new += cores
+        table.update([(word, known[core] + known[tail]) for word, core, tail in plain])
         for word, parts in cuts.items():
-            table[word] = b"".join([self.parts[p] for p in parts])
-        return list(fresh) if len(self.parts) > self.most else []
+            table[word] = b"".join([known[p] for p in parts])
+        return new if len(known) > self.most else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
