@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, line_templates, packing, pivot_index, shard_ring, url_filter, wavelet
+from . import decontaminate, jaccard_join, language, line_templates, packing, pivot_index, shard_ring, url_filter, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -190,6 +190,11 @@ def op8(spark, sf_dir):
                                   _vocabulary("byte_bpe_50k.json"), 1024, end_id=2)
 
 
+def op9(spark, sf_dir):
+    return decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10(spark, sf_dir):
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -202,5 +207,6 @@ QUERIES = {
     "op5_jaccard_join": (op5, None),
     "op6_wavelet_index": (op6, None),
     "op8_best_fit_pack": (op8, None),
+    "op9_decontaminate": (op9, None),
     "op10_pivot_index": (op10, None),
 }

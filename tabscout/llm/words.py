@@ -17,6 +17,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = _SPACE.copy()
+_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _CHUNK = 1 << 21
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -41,11 +43,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the number of words up to the end of each text."""
+def words(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of words up to the end of each text.
+
+    With ``marks``, ASCII punctuation ends a word as white space does.
+    """
     data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
     ends_of_text = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
-    space = _SPACE[data]
+    space = (_MARKS if marks else _SPACE)[data]
     edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
     starts, ends = edge[0::2], edge[1::2]
     out = np.empty(len(starts), np.uint64)
