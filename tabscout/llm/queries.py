@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, line_templates, packing, pivot_index, shard_ring, url_filter, wavelet
+from . import decontaminate, jaccard_join, language, line_templates, packing, pivot_index, shard_ring, suffix_dedup, url_filter, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -185,6 +185,10 @@ def op6(spark, sf_dir):
     return wavelet.documents_of(spark, path)
 
 
+def op7(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"),
                                   _vocabulary("byte_bpe_50k.json"), 1024, end_id=2)
@@ -206,6 +210,7 @@ QUERIES = {
     "op4_language": (op4, None),
     "op5_jaccard_join": (op5, None),
     "op6_wavelet_index": (op6, None),
+    "op7_suffix_dedup": (op7, None),
     "op8_best_fit_pack": (op8, None),
     "op9_decontaminate": (op9, None),
     "op10_pivot_index": (op10, None),
