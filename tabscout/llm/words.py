@@ -92,4 +92,5 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
 def signature(shingles: np.ndarray) -> int:
     """A hash of the set, as a signed 64-bit integer."""
     h = mixed(shingles ^ _PLACES[62]).sum(dtype=np.uint64, keepdims=True)
-    return int(mixed(h + _U(len(shingles)) * _PLACES[61]).view(np.int64)[0])
+    size = np.array([len(shingles)], np.uint64) * _PLACES[61]
+    return int(mixed(h + size).view(np.int64)[0])
