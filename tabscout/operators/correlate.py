@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import as_number
 
@@ -20,11 +20,9 @@ def mean_abs_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if len(columns) < 2:
         return df.sparkSession.range(1).select(F.lit(0.0).alias("mean_abs_correlation"))
     if len(columns) <= PAIRWISE_LIMIT:
-        row = df.agg(*[
-            F.corr(as_number(a, df.schema[a].dataType), as_number(b, df.schema[b].dataType))
-            .alias(f"r{i}")
-            for i, (a, b) in enumerate(combinations(columns, 2))
-        ])
+        value = {c: as_number(c, df.schema[c].dataType) for c in columns}
+        row = df.agg(*[_correlation(value[a], value[b]).alias(f"r{i}")
+                       for i, (a, b) in enumerate(combinations(columns, 2))])
         pairs = row.select(F.explode(F.array(*[F.col(c) for c in row.columns])).alias("r"))
     else:
         pairs = pair_correlations(df, columns).select("r")
@@ -33,6 +31,19 @@ def mean_abs_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson's r over the rows that have both; null if either does not vary there.
+
+    The built-in correlation divides by zero on a constant column.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    # Equal extremes are exact where a variance may keep a rounding error.
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), spread))
+
+
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of column positions ``a`` < ``b`` and their correlation ``r``.
 
@@ -43,8 +54,11 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     p = len(columns)
     cells = df.select(*[as_number(c, df.schema[c].dataType).alias(f"v{i}")
                         for i, c in enumerate(columns)])
-    means = cells.agg(*[F.avg(c).alias(c) for c in cells.columns]).first()
-    shift = np.array([0.0 if m is None or not np.isfinite(m) else m for m in means])
+    # A constant column is shifted by its value, so that its sums are exactly zero.
+    facts = cells.agg(*[
+        F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c)
+        for c in cells.columns]).first()
+    shift = np.array([0.0 if m is None or not np.isfinite(m) else m for m in facts])
 
     def fold(batches):
         sums = np.zeros((5, p, p))
@@ -80,9 +94,10 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     totals = partial.groupBy("a", "b").agg(
         *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]
     )
-    covariance = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
-    spread = (F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")) * (
-        F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
-    )
-    r = F.when((F.col("n") > 1) & (spread > 0), covariance / F.sqrt(spread))
+    def centred(product: str, left: str, right: str) -> Column:
+        return F.col(product) - F.try_divide(F.col(left) * F.col(right), F.col("n"))
+
+    covariance = centred("sab", "sa", "sb")
+    spread = centred("saa", "sa", "sa") * centred("sbb", "sb", "sb")
+    r = F.when((F.col("n") > 1) & (spread > 0), F.try_divide(covariance, F.sqrt(spread)))
     return totals.select("a", "b", r.alias("r"))

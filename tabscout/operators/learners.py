@@ -130,10 +130,11 @@ class Neighbours(FitTimeLearner):
     def _fit(self, dataset: DataFrame) -> "NeighboursModel":
         # The training rows are the model; they stay in files all executors can read.
         path = scratch_path(dataset.sparkSession, "neighbours")
+        # Ties are settled by a hash of the row: the same however the rows are dealt.
         rows = dataset.select(
-            F.monotonically_increasing_id().alias("key"),
             vector_to_array(F.col(self.getFeaturesCol())).alias("vector"),
-            F.col(self.getLabelCol()).cast("double").alias("outcome"))
+            F.col(self.getLabelCol()).cast("double").alias("outcome"),
+        ).select(F.xxhash64("vector", "outcome").alias("key"), "vector", "outcome")
         rows.write.parquet(path)
         return NeighboursModel(
             featuresCol=self.getFeaturesCol(), k=self.getOrDefault(self.k),

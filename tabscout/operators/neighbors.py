@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise
+from ..session import materialise, ship_package
 
 TRAIN_BLOCK = 8_192
 QUERY_BLOCK = 2_048
@@ -219,13 +219,14 @@ def neighbours(
 ) -> DataFrame:
     """The k nearest training rows of each query: key, rank, distance and outcome.
 
-    Keys must be unique; ties in distance go to the smaller training key.
+    Ties in distance go to the smaller training key; rows that share a key should be alike.
     """
     train = train.select(
         F.col(train_key).alias("key"), F.col(vector).cast("array<double>").alias("vector"),
         F.col(outcome).alias("outcome"))
     query = query.select(
         F.col(query_key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    ship_package(train.sparkSession)
     rows = train.count()
     if rows < k:
         raise ValueError(f"{k} neighbours wanted of {rows} training rows")

@@ -24,7 +24,9 @@ def _features(df: DataFrame, keep: Sequence[str]) -> list[str]:
 
 def drop_empty_columns(df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Without the columns that hold no value at all, and their names."""
-    found = collect_measures(df, _present(df, _features(df, keep)), {"known": F.count})
+    # Flags of one type: any number of columns is one pass.
+    flags = {n: F.when(c.isNotNull(), 1) for n, c in _present(df, _features(df, keep)).items()}
+    found = collect_measures(df, flags, {"known": F.count})
     empty = [n for n, m in found.items() if not m["known"]]
     return df.drop(*[col(c) for c in empty]), empty
 
@@ -36,9 +38,14 @@ def _varies(c: Column) -> Column:
 def drop_constant_columns(df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Without the columns of at most one distinct value, and their names.
 
-    Smallest and largest value tell; nothing is counted distinct.
+    Smallest and largest hash tell, in one pass over any mix of types, and where they are
+    equal the smallest and largest value; nothing is counted distinct.
     """
-    found = collect_measures(df, _present(df, _features(df, keep)), {"varies": _varies})
+    values = _present(df, _features(df, keep))
+    hashes = {n: F.when(c.isNotNull(), F.xxhash64(c)) for n, c in values.items()}
+    found = collect_measures(df, hashes, {"varies": _varies})
+    alike = {n: values[n] for n, m in found.items() if not m["varies"]}
+    found |= collect_measures(df, alike, {"varies": _varies})
     constant = [n for n, m in found.items() if not m["varies"]]
     return df.drop(*[col(c) for c in constant]), constant
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalars import any_of, as_number, col, is_fractional, present
@@ -215,8 +217,8 @@ def profile(
 ) -> DataFrame:
     """The 14-field meta-feature row of one table.
 
-    Feature statistics come from one wide aggregate, the target's from one
-    grouped count; the correlation part joins the former when few columns are numeric.
+    Feature statistics come from one wide aggregate, the target's from one grouped count,
+    the correlations from a third pass.
     """
     require_columns(df, [target])
     numeric, categorical = partition_columns(df, target, policy)
@@ -272,20 +274,35 @@ class DatasetSpec:
 def profile_many(
     spark: SparkSession, specs: Sequence[DatasetSpec], policy: str = "trainer"
 ) -> tuple[DataFrame, dict[str, str]]:
-    """A profile row per dataset, and the reason for each one skipped.
+    """A profile row per dataset, and the reason for each one skipped."""
+    return row_per_dataset(
+        spark, specs,
+        lambda spec: profile(spec.load(spark), spec.target, spec.name, spec.task_id, policy))
 
-    Tables that cannot be opened or lack their target are skipped while the plan
-    is built; all rows are computed by the action on the returned frame.
+
+def row_per_dataset(
+    spark: SparkSession, specs: Sequence[DatasetSpec], make: Callable[[DatasetSpec], DataFrame],
+    at_once: int = 4,
+) -> tuple[DataFrame, dict[str, str]]:
+    """The one-row frame of each dataset, some at a time, and why others gave none.
+
+    Each is computed by its own jobs, so an unreadable file or a failing expression stops
+    its dataset alone. The driver holds one small row per dataset.
     """
-    rows, skipped = [], {}
-    for spec in specs:
+    def attempt(spec):
         try:
-            rows.append(profile(spec.load(spark), spec.target, spec.name, spec.task_id, policy))
+            frame = make(spec)
+            return frame.schema, frame.first(), None
         except Exception as reason:  # a bad dataset must not stop the others
-            skipped[spec.name] = f"{type(reason).__name__}: {reason}"
+            return None, None, f"{type(reason).__name__}: {reason}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(attempt), specs))
+    skipped = {spec.name: why for spec, (_, _, why) in zip(specs, found) if why}
+    rows = [(schema, row) for schema, row, why in found if why is None]
     if not rows:
-        raise ValueError(f"no dataset could be profiled: {skipped}")
-    return reduce(DataFrame.unionByName, rows), skipped
+        raise ValueError(f"no dataset gave a row: {skipped}")
+    return spark.createDataFrame([row for _, row in rows], rows[0][0]), skipped
 
 
 def detect_task(df: DataFrame, target: str) -> str:

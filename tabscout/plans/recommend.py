@@ -11,6 +11,7 @@ from ..operators.profile import (
     type_class,
 )
 from ..operators.validate import drop_null_target, require_columns
+from ..session import materialise
 from .selector import Selector, rank_learners
 
 RANKING = "array<struct<model:string,confidence:double>>"
@@ -73,11 +74,13 @@ def recommend_from_facts(row: DataFrame, selector: Selector | None = None) -> Da
         })
         ranked = rank_learners(renamed, selector)
         learned = F.when(~regression, F.col("predicted_model"))
-        return ranked.select(
+        learnt = ranked.select(
             *row.columns,
             F.coalesce(learned, by_rule).alias("recommended_model"),
             F.when(~regression, F.col("ranking")).alias("ranking"),
         )
+        # Scored here, so that a selector that fails while scoring is noticed.
+        return materialise(learnt)
     except Exception:
         return plain
 

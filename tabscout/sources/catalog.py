@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.profile import DatasetSpec, target_counts
+from ..operators.profile import DatasetSpec, row_per_dataset, target_counts
 from ..operators.validate import require_columns
 
 def catalog_row(df: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -28,12 +27,4 @@ def build_catalog(
     spark: SparkSession, specs: Sequence[DatasetSpec]
 ) -> tuple[DataFrame, dict[str, str]]:
     """A row per dataset and the reason for each one that had to be skipped."""
-    rows, skipped = [], {}
-    for spec in specs:
-        try:
-            rows.append(catalog_row(spec.load(spark), spec))
-        except Exception as reason:  # a bad dataset must not stop the others
-            skipped[spec.name] = f"{type(reason).__name__}: {reason}"
-    if not rows:
-        raise ValueError(f"no dataset could be listed: {skipped}")
-    return reduce(DataFrame.unionByName, rows), skipped
+    return row_per_dataset(spark, specs, lambda spec: catalog_row(spec.load(spark), spec))
