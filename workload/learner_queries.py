@@ -25,9 +25,12 @@ from .log_queries import STRICT
 from .prepare_queries import split_sql
 from .profile_queries import rounded
 
+# Many-round learners run with full parameters on smaller tables, whole.
 TARGETS = {
     "classification": ("orders", "o_orderstatus", "o_orderkey",
-                       ["o_custkey", "o_totalprice", "o_orderpriority"]),
+                       ["o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+    "labelled": ("labels", "quality", "doc_id", ["toxic", "lang", "source", "n_chars"]),
+    "balances": ("customer", "c_acctbal", "c_custkey", ["c_nationkey", "c_mktsegment"]),
     "regression": ("orders", "o_totalprice", "o_orderkey",
                    ["o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]),
 }
@@ -35,14 +38,22 @@ TARGETS = {
 
 def _source(spark, d, task):
     name, target, key, features = TARGETS[task]
-    return table(spark, d, name).select(key, target, *features), target, key
+    df = _labelled(spark, d) if task == "labelled" else table(spark, d, name)
+    return df.select(key, target, *features), target, key
+
+
+def _labelled(spark, d):
+    """The labels with what is known of their documents."""
+    documents = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return table(spark, d, "labels").join(documents, "doc_id")
 
 
 def holdout_metrics(learner, task, params=None):
     """Fit on the training part of a whole table, score the held-out part."""
     def run(spark, d):
         df, target, key = _source(spark, d, task)
-        scores = R.holdout_scores(df, target, key, learner, task, params)
+        kind = "regression" if target in ("o_totalprice", "c_acctbal") else "classification"
+        scores = R.holdout_scores(df, target, key, learner, kind, params)
         return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumns(
             {"learner": F.lit(learner), **{m: F.lit(v) for m, v in scores.items()}})
     return run
@@ -112,16 +123,9 @@ def f17_gate(spark, d):
         N.gated(F.col("model"), F.col("task"), strict=True).alias("gated_strictly"))
 
 
-SMALL_SUITE = {
-    "LogisticRegression": {"maxIter": 20}, "DecisionTree": {"maxDepth": 5},
-    "RandomForest": {"numTrees": 10, "maxDepth": 5}, "SVM": {"width": 32, "maxIter": 10},
-    "XGBoost": {"trees": 3, "depth": 3},
-}
-
-
 def f20_train_final(spark, d):
-    df, target, key = _source(spark, d, "classification")
-    trained = R.train_final(df, target, key, "orders", params={"numTrees": 10, "maxDepth": 5})
+    df, target, key = _source(spark, d, "labelled")
+    trained = R.train_final(df, target, key, "labels", "random forest")
     facts = df.agg(F.count(F.lit(1)).alias("n_rows"))
     return facts.withColumns({
         m: F.lit(trained.meta[m]) for m in
@@ -129,15 +133,15 @@ def f20_train_final(spark, d):
 
 
 def f21_run_suite(spark, d):
-    rows = U.run_suite(table(spark, d, "labels"), "quality", "doc_id", params=SMALL_SUITE,
+    rows = U.run_suite(_labelled(spark, d), "quality", "doc_id",
                        facts={"dataset_name": "labels", "dataset_id": 1})
     return U.log_frame(spark, rows).select("model", "status", "accuracy", "n_samples")
 
 
 def e02_cross_validate(spark, d):
     rows = U.cross_validate(
-        table(spark, d, "labels"), "quality", "doc_id",
-        ["DecisionTree"], params=SMALL_SUITE, dataset="labels")
+        _labelled(spark, d), "quality", "doc_id",
+        ["LogisticRegression", "DecisionTree", "KNN"], dataset="labels")
     return spark.createDataFrame(rows)
 
 
@@ -161,19 +165,19 @@ def h03_selector_labels(spark, d):
 
 def h03_train_selector(spark, d):
     log = _selector_log(spark, d)
-    trained = H.train_selector(log, trees=20, max_depth=10)
+    trained = H.train_selector(log)
     return log.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
         "training_accuracy", F.lit(trained.facts["training_accuracy"]))
 
 
 def h04_evaluate_selector(spark, d):
     log = _selector_log(spark, d)
-    trained = H.train_selector(log, trees=20, max_depth=10)
+    trained = H.train_selector(log)
     return H.evaluate_selector(H.selector_table(log), trained)["evaluation"]
 
 
 def h05_rank_learners(spark, d):
-    trained = H.train_selector(_selector_log(spark, d), trees=20, max_depth=10)
+    trained = H.train_selector(_selector_log(spark, d))
     profiles = table(spark, d, "profiles").withColumnsRenamed(
         {"n_numeric": "numeric_features", "n_categorical": "categorical_features"}
     ).withColumn("n_classes", F.lit(2))
@@ -200,7 +204,7 @@ def h07_recommend(spark, d):
 
 
 def h07_recommend_learned(spark, d):
-    trained = H.train_selector(_selector_log(spark, d), trees=20, max_depth=10)
+    trained = H.train_selector(_selector_log(spark, d))
     return recommend(table(spark, d, "orders"), "o_orderstatus", "orders", trained).select(
         "task_type", "samples", "recommended_model", F.explode("ranking").alias("entry")
     ).select("task_type", "samples", "recommended_model", "entry.model", "entry.confidence")
@@ -208,7 +212,7 @@ def h07_recommend_learned(spark, d):
 
 def _trained(spark, d, learner="decision tree", params=None):
     df, target, key = _source(spark, d, "classification")
-    return df, R.train_final(df, target, key, "orders", learner, params or {"maxDepth": 4})
+    return df, R.train_final(df, target, key, "orders", learner, params)
 
 
 def i01_score(spark, d):
@@ -263,7 +267,7 @@ def j39_run_benchmark(spark, d):
         DatasetSpec("broken", "no_such_column", f"{d}/orders.parquet", task_id=3, dataset_id=3),
     ]
     keys = {"region": "r_regionkey", "labels": "doc_id", "broken": "o_orderkey"}
-    result, _ = U.run_benchmark(spark, specs, lambda s: keys[s.name], path, SMALL_SUITE)
+    result, _ = U.run_benchmark(spark, specs, lambda s: keys[s.name], path)
     return result
 
 
@@ -335,13 +339,13 @@ QUERIES = {
     "a06_save_load_model": (a06_save_load, None),
     "e02_cross_validate": (e02_cross_validate, None),
     "f01_logistic_regression": (
-        holdout_metrics("Logistic", "classification", {"maxIter": 50}), None),
+        holdout_metrics("Logistic", "classification"), None),
     "f02_decision_tree": (
-        holdout_metrics("DecisionTree", "classification", {"maxDepth": 5}), None),
+        holdout_metrics("DecisionTree", "classification"), None),
     "f03_random_forest": (
-        holdout_metrics("Random Forest", "classification", {"numTrees": 10, "maxDepth": 5}), None),
+        holdout_metrics("Random Forest", "labelled"), None),
     "f04_gradient_boosting": (
-        holdout_metrics("GradientBoosting", "classification", {"trees": 3, "depth": 3}), None),
+        holdout_metrics("GradientBoosting", "labelled"), None),
     "f05_naive_bayes": (f05_naive_bayes, """
         WITH c AS (SELECT l_returnflag AS label, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lineitem)
               AS prior, avg(l_quantity) AS m1, var_pop(l_quantity) + e AS v1,
@@ -358,11 +362,11 @@ QUERIES = {
     "f06_linear_regression": (_line("Linear Regression"), _line_sql(0)),
     "f07_ridge": (_line("Ridge", {"alpha": 1000.0}), _line_sql(1000)),
     "f08_forest_regression": (
-        holdout_metrics("Random Forest", "regression", {"numTrees": 5, "maxDepth": 5}), None),
+        holdout_metrics("Random Forest", "balances"), None),
     "f09_boosting_regression": (
-        holdout_metrics("Gradient Boosting", "regression", {"trees": 5, "depth": 3}), None),
+        holdout_metrics("Gradient Boosting", "balances"), None),
     "f10_tree_regression": (
-        holdout_metrics("Decision Tree", "regression", {"trees": 5, "depth": 3}), None),
+        holdout_metrics("Decision Tree", "balances"), None),
     "f11_neighbour_votes": (f11_neighbours, _NEAREST + """
         , v AS (SELECT vec_id, outcome, count(*) AS n FROM near GROUP BY 1, 2)
         SELECT vec_id, prediction, round(n / CAST(5 AS DOUBLE), 6) AS probability FROM
@@ -376,10 +380,9 @@ QUERIES = {
         SELECT vec_id, round(avg(outcome), 6) AS prediction FROM near GROUP BY vec_id"""),
     "f12_knn_regression": (holdout_metrics("knn", "regression"), None),
     "f13_kernel_classifier": (
-        holdout_metrics("SVM", "classification", {"width": 32, "maxIter": 10}), None),
+        holdout_metrics("SVM", "labelled"), None),
     "f14_kernel_regressor": (
-        holdout_metrics("Support Vector Machine", "regression", {"width": 32, "maxIter": 10}),
-        None),
+        holdout_metrics("Support Vector Machine", "balances"), None),
     "f16_factory_aliases": (f16_aliases, with_tables("bench_log", sql=f"""
         SELECT seq, {_FACTORY.format(extra='')} AS learner FROM bench_log""")),
     "f17_gate": (f17_gate, with_tables("bench_log", sql=f"""
