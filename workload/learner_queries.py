@@ -257,6 +257,51 @@ def a06_save_load(spark, d):
         "absent_is_none": F.lit(absent is None)})
 
 
+def _saturated(spark, d):
+    """A tree on one category, deep enough for a leaf for each level: its answers are exact."""
+    df = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
+    return df, R.train_final(df, "o_orderstatus", "id", "orders", "decision tree")
+
+
+def f20_saturated(spark, d):
+    df, trained = _saturated(spark, d)
+    return rounded(df.agg(F.count(F.lit(1)).alias("n_rows")).withColumns({
+        "recommended_model": F.lit(trained.meta["recommended_model"]),
+        **{m: F.lit(trained.meta[m]).cast("bigint")
+           for m in ("training_samples", "evaluation_samples")},
+        "accuracy": F.lit(trained.meta["accuracy"])}))
+
+
+def i01_saturated_score(spark, d):
+    df, trained = _saturated(spark, d)
+    # Sibling leaves of one class are merged, so shares are not those of a level.
+    return score(df, trained.model, trained.meta).drop("prediction_probability")
+
+
+def i01_saturated_saved(spark, d):
+    df, trained = _saturated(spark, d)
+    path, out = scratch_path(spark, "model"), scratch_path(spark, "scores")
+    trained.save(path)
+    model, meta = load_model(spark, path)
+    write_scores(score(df, model, meta), out)
+    return spark.read.parquet(out).drop("prediction_probability")
+
+
+def i03_saturated_distribution(spark, d):
+    df, trained = _saturated(spark, d)
+    return prediction_distribution(score(df, trained.model, trained.meta))
+
+
+def i04_saturated_stream(spark, d):
+    _, trained = _saturated(spark, d)
+    stream = read_stream(spark, d, table(spark, d, "orders").schema, "orders.parquet")
+    sink = scratch_path(spark, "stream")
+    score_stream(stream, trained.model, trained.meta, sink,
+                 scratch_path(spark, "state")).awaitTermination()
+    return prediction_distribution(spark.read.parquet(sink))
+
+
 def j39_run_benchmark(spark, d):
     from tabscout.operators.profile import DatasetSpec
 
@@ -335,7 +380,29 @@ def _recommend_sql(name, target):
       CAST(0 AS DOUBLE) AS missing_percentage, {rule} AS recommended_model FROM {name}"""
 
 
+_MAJORITY = """levels AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM {rows} GROUP BY 1, 2),
+  best AS (SELECT o_orderpriority, o_orderstatus AS prediction,
+      row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_orderstatus) AS seat FROM levels)
+"""
+_OF_ALL = "WITH " + _MAJORITY.format(rows="orders")
+_SCORED = _OF_ALL + """SELECT o.o_orderpriority, prediction
+  FROM orders o JOIN best b ON o.o_orderpriority = b.o_orderpriority AND seat = 1"""
+_DISTRIBUTION = _OF_ALL + """SELECT prediction AS value, count(*) AS n
+  FROM orders o JOIN best b ON o.o_orderpriority = b.o_orderpriority AND seat = 1 GROUP BY 1"""
+_SATURATED = ("WITH " + split_sql("orders", "o_orderstatus", "o_orderkey").strip() + ", "
+              + _MAJORITY.format(rows="split WHERE NOT is_test") + """
+  SELECT (SELECT count(*) FROM orders) AS n_rows, 'decision tree' AS recommended_model,
+    (SELECT count(*) FROM orders) AS training_samples, count(*) AS evaluation_samples,
+    round(avg(CASE WHEN prediction = o_orderstatus THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+  FROM split s JOIN best b ON s.o_orderpriority = b.o_orderpriority AND seat = 1 WHERE is_test""")
+
+
 QUERIES = {
+    "f20_saturated_train": (f20_saturated, _SATURATED),
+    "i01_saturated_score": (i01_saturated_score, _SCORED),
+    "i01_saturated_saved": (i01_saturated_saved, _SCORED),
+    "i03_saturated_distribution": (i03_saturated_distribution, _DISTRIBUTION),
+    "i04_saturated_stream": (i04_saturated_stream, _DISTRIBUTION),
     "a06_save_load_model": (a06_save_load, None),
     "e02_cross_validate": (e02_cross_validate, None),
     "f01_logistic_regression": (
