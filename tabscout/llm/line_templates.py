@@ -9,6 +9,8 @@ from tabscout.session import materialise
 
 #: Fixed patterns: white space inside a line, and a token that holds a digit.
 SPACE, FIELD = r"[\x09-\x0D\x20]+", r"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*"
+#: A text without any of these has lines that are single-spaced and without fields already.
+UNEVEN = r"[0-9\x09\x0B-\x0D]|  "
 #: A lookup of fewer leaves than this is broadcast, a longer one is shuffled.
 SMALL_LOOKUP = 2_000_000
 
@@ -19,11 +21,14 @@ def _masked(line):
 
 
 def _lines(docs: DataFrame, lead: int) -> DataFrame:
-    exploded = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    masked = exploded.select("doc_id", "row", "line_no", _masked(F.col("line")).alias("masked")).where(
-        "masked <> ''")
+    exploded = docs.withColumn("uneven", F.rlike("text", F.lit(UNEVEN))).select(
+        "doc_id", "row", "uneven", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # The filter is on the plain line: one on the masked line would mask it twice.
+    masked = exploded.where(F.trim("line") != "").select(
+        "doc_id", "row", "line_no",
+        F.when(F.col("uneven"), _masked(F.col("line"))).otherwise(F.trim("line")).alias("masked"))
     # Tree path: number of tokens, then the leading tokens.
-    count = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
+    count = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "))) + 1
     return masked.withColumn(
         "leaf", F.xxhash64(count, F.substring_index("masked", " ", lead)))
 
@@ -90,6 +95,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, lead: int = 5, simi
     if frequent.count() <= SMALL_LOOKUP:
         frequent = F.broadcast(frequent)
     alive = materialise(lines.join(frequent, "leaf"))
+    alive = alive.where("masked <> ''")
     variants = alive.groupBy("leaf", "masked").agg(F.count_distinct("row").alias("docs"))
     template = materialise(_templates(variants, lead, similar, levels, min_docs))
     place = F.struct("doc_id", "row", "line_no")
