@@ -16,7 +16,7 @@ from .words import words
 BLOCK_CHARACTERS = 8_000_000
 #: Documents that the latent space is fitted on, at most about this many.
 SAMPLE_DOCS = 20_000
-#: Words of a passage and of its thirds, the step from passage to passage.
+#: Words of a passage, and the step from passage to passage.
 PASSAGE, STEP = 48, 16
 
 
@@ -52,7 +52,7 @@ def queries_of(rows: list[tuple]) -> Queries:
     return Queries(ids, items, answers, known)
 
 
-def _texts(batches, most=4 << 20):
+def _texts(batches, most=2 << 20):
     for batch in slices(batches, "text", most):
         hashes, stops = words([(t or "").lower().encode() for t in batch.column("text").to_pylist()], True)
         yield batch, hashes, stops
@@ -108,7 +108,7 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int = 96,
+def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int = 256,
                  seed: int = 11) -> np.ndarray:
     """Right singular vectors of the TF-IDF passages, (vocabulary + 1) x rank.
 
@@ -116,7 +116,7 @@ def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int =
     their transpose with the outcome, the sums give the Nystroem form of A'A, whose leading
     eigenvectors are wanted. The passages are all those of a bounded sample of documents
     (`SAMPLE_DOCS`, by a hash) in at most 16 tasks, and the items themselves, scaled to
-    weigh as much as all the passages.
+    weigh four times as much as all the passages.
     """
     width = min(rank + 16, len(queries.vocabulary))
     omega = np.random.default_rng(seed).standard_normal((len(idf), width)).astype(np.float32)
@@ -138,7 +138,7 @@ def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int =
 
     def sketch(batches):
         total, n = np.zeros((len(idf), width), np.float64), 0
-        for _, hashes, stops in _texts(batches):
+        for _, hashes, stops in _texts(batches, 1 << 20):
             at = queries.features(hashes)
             starts = np.concatenate([
                 np.arange(low, high, PASSAGE) for low, high in zip([0, *stops[:-1]], stops, strict=True)
@@ -159,7 +159,7 @@ def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int =
     for r in in_batches(sample.repartition(16), sketch, "n bigint, sums binary").collect():
         total += np.frombuffer(r["sums"], np.float32).reshape(total.shape)
         n += r["n"]
-    total += own * max(1.0, n / len(queries.items))
+    total += own * max(1.0, 4 * n / len(queries.items))
     core = omega.T.astype(np.float64) @ total
     core = (core + core.T) / 2
     values, vectors = np.linalg.eigh(core)
@@ -199,9 +199,10 @@ def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarra
     unit = vectors / np.maximum(norms, 1e-12)[:, None]
     # Items of nothing but common words have no latent vector; their words are looked for
     # by the same sequence check in every passage that holds all of them.
-    weak = float(norms[norms > 1e-6].min(initial=np.inf)) * least_cosine * 0.5
     blank = np.flatnonzero(norms <= 1e-6)
-    thirds = PASSAGE // STEP
+    weights = [idf[queries.features(i)].sum() for i in queries.items]
+    # A passage with less weight than half of the lightest item's cannot hold half of any.
+    light = 0.5 * min([w for w, n in zip(weights, norms, strict=True) if n > 1e-6], default=np.inf)
 
     def find(batches):
         masks = [_masks(i) for i in queries.items]
@@ -213,20 +214,26 @@ def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarra
             starts = [np.arange(low, high, STEP) for low, high in zip(low_of, stops, strict=True)]
             doc = np.repeat(np.arange(len(names)), [len(s) for s in starts])
             chunk = np.concatenate(starts or [np.zeros(0)]).astype(np.int64)
-            # Only words with weight are looked up in the latent matrix.
-            heavy = np.flatnonzero(idf[at] > 0)
-            parts = _sums(latent[at[heavy]], np.searchsorted(heavy, chunk))
-            passages = parts.copy()
-            for k in range(1, thirds):
-                same = doc[k:] == doc[:-k]
-                passages[:-k][same] += parts[k:][same]
-            size = np.linalg.norm(passages, axis=1)
-            strong = np.flatnonzero(size >= weak)
+            # Words before each one, the weighty ones and their weight: passages as differences.
+            ends = np.minimum(chunk + PASSAGE, stops[doc]) if len(chunk) else chunk
+            weight = idf[at]
+            before = np.append(0, np.cumsum(weight, dtype=np.float64))
+            strong = np.flatnonzero(before[ends] - before[chunk] >= light)
+            heavy = np.flatnonzero(weight > 0)
+            first, last = np.searchsorted(heavy, chunk[strong]), np.searchsorted(heavy, ends[strong])
             pairs = []
-            for some in np.array_split(strong, len(strong) // 4096 + 1):
-                cosine = passages[some] @ unit.T
-                i, j = np.nonzero(cosine >= least_cosine * size[some][:, None])
-                pairs += zip(some[i].tolist(), j.tolist(), strict=True)
+            for some in np.array_split(np.arange(len(strong)), len(strong) // 2048 + 1):
+                if not len(some):
+                    continue
+                n = last[some] - first[some]
+                begin = np.cumsum(n) - n
+                words_of = heavy[np.repeat(first[some] - begin, n) + np.arange(n.sum())]
+                passages = _sums(latent[at[words_of]], begin)
+                size = np.linalg.norm(passages, axis=1)
+                shared = passages @ unit.T
+                i, j = np.nonzero((shared >= least_cosine * size[:, None])
+                                  & (shared >= 0.5 * norms[None, :]) & (norms > 1e-6)[None, :])
+                pairs += zip(strong[some[i]].tolist(), j.tolist(), strict=True)
             if len(blank):
                 pairs += [(p, j) for p in range(len(chunk)) for j in blank.tolist()]
             for p, j in pairs:
@@ -253,7 +260,7 @@ def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarra
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.4,
-          least_match: float = 0.8, paraphrase: float = 0.65, rank: int = 96,
+          least_match: float = 0.8, paraphrase: float = 0.65, rank: int = 256,
           key: str = "doc_id", text: str = "text", item_key: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, match, answer_match): each document and benchmark item it leaks.
@@ -261,7 +268,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.4,
     Texts are lower-cased; words end at ASCII white space and punctuation. Passages of
     48 words at every 16th word and the items become TF-IDF vectors over the items'
     words, with document frequencies over all documents, and are compared by cosine in
-    the latent space of a randomised SVD. For each candidate, ``match`` is the longest common
+    the latent space of a randomised SVD: a candidate has the cosine and half of the item's
+    length along the item. For each candidate, ``match`` is the longest common
     word subsequence of item and surroundings as a share of the item. A document leaks an item
     at ``least_match``, or from ``paraphrase`` on if the item's last sentence, its answer, is
     found at ``least_match`` too.
