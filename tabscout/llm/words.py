@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARKS = _SPACE.copy()
 _MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -43,28 +43,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def words(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the number of words up to the end of each text.
-
-    With ``marks``, ASCII punctuation ends a word as white space does.
-    """
-    data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-    ends_of_text = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
-    space = (_MARKS if marks else _SPACE)[data]
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
-    starts, ends = edge[0::2], edge[1::2]
+def segment_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash, yet to be mixed, of each of some ascending segments of bytes."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
         low, high = int(starts[i]), int(ends[j - 1])
-        power, inverse = _powers(high - low)
+        power, inverse = _powers(high - low + 1)
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_BYTES[data[low:high]] * power[:high - low], out=sums[1:])
         at = starts[i:j] - low
         out[i:j] = (sums[ends[i:j] - low] - sums[at]) * inverse[at]
         i = j
-    return mixed(out), np.searchsorted(starts, ends_of_text)
+    return out
+
+
+def words(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of words up to the end of each text.
+
+    With ``marks``, ASCII punctuation ends a word as white space does.
+    """
+    data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+    ends_of_text = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    space = (_MARKS if marks else _SPACE)[data]
+    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
+    starts, ends = edge[0::2], edge[1::2]
+    return mixed(segment_sums(data, starts, ends)), np.searchsorted(starts, ends_of_text)
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
