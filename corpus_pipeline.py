@@ -20,9 +20,10 @@ def identify_language(spark, docs, sf_dir):
     Dictionaries are learned from labelled documents that are not held out. Documents without
     a letter and those between two languages go.
     """
-    found = language.identify(docs.select(*COLUMNS))
+    found = language.identify(
+        docs.select(*COLUMNS), keep=("doc_id", "source", "n_chars"), with_text=True)
     return found.where("NOT rejected").select(
-        "row.doc_id", "row.text", F.col("lang_pred").alias("lang"), "row.source", "row.n_chars")
+        "row.doc_id", "text", F.col("lang_pred").alias("lang"), "row.source", "row.n_chars")
 
 
 def drop_repeated_lines(spark, docs, sf_dir):

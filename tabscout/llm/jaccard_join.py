@@ -33,7 +33,7 @@ def _needed(n, percent):
     return min(_extra(least_overlap(n, percent)), _extra(n))
 
 
-def _sets_of(batches, size, most=4 << 20):
+def _sets_of(batches, size, most=2 << 20):
     for batch in slices(batches, "text", most):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         yield batch, shingle_sets(texts, size)
@@ -61,7 +61,7 @@ def shared_in_prefix(docs: DataFrame, size: int, percent: int) -> DataFrame:
     buckets = parallelism(docs.sparkSession)
 
     def deal(batches):
-        for _, sets in _sets_of(batches, size, 8 << 20):
+        for _, sets in _sets_of(batches, size, 4 << 20):
             sets = list({signature(s): s for s in sets if len(s)}.items())
             if not sets:
                 continue

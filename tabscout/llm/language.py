@@ -54,8 +54,10 @@ def learn(labelled: DataFrame, dictionary_bytes: int = 1 << 16, key: str = "doc_
 
 def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level: int = 6,
              block: int = 4096, min_margin: float = 0.003,
-             keep: tuple[str, ...] = ("*",)) -> DataFrame:
-    """(row, lang_pred, score, rejected) for every row; ``row`` is a struct of kept columns.
+             keep: tuple[str, ...] = ("*",), with_text: bool = False) -> DataFrame:
+    """(row, lang_pred, score, rejected[, text]) for every row; ``row`` is a struct of the
+    columns in ``keep``, all by default. A text that is wanted back travels once if it is
+    left out of ``keep`` and asked for by ``with_text``.
 
     The letters of the whole text are compressed in blocks with each language's dictionary;
     the smallest total wins, the first name among equals. ``score`` is the saving over the
@@ -76,9 +78,9 @@ def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level
                 level=level, dict_data=content, write_content_size=False))
 
         def judge(value):
-            data = letters(value) if value else b""
-            if not data or not names:
+            if not value or not names or not any(map(str.isalpha, value)):
                 return UNKNOWN, 0.0, True
+            data = letters(value)
             blocks = [data[i:i + block] for i in range(0, len(data), block)]
             sizes = [sum(len(p.compress(b)) for b in blocks) for p in presses]
             order = sorted(range(len(names)), key=sizes.__getitem__)
@@ -86,18 +88,20 @@ def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level
             score = (sizes[order[1]] - best) / sizes[order[1]] if len(order) > 1 else 1.0
             return names[order[0]], score, score < min_margin
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             found = [judge(t) for t in batch.column("text").to_pylist()]
+            names_out = ["row", "lang_pred", "score", "rejected"] + ["text"] * with_text
             yield pa.RecordBatch.from_arrays([
                 batch.column("row"), pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
-                pa.array([f[2] for f in found], pa.bool_())],
-                names=["row", "lang_pred", "score", "rejected"])
+                pa.array([f[2] for f in found], pa.bool_()),
+                *([batch.column("text")] if with_text else [])], names=names_out)
 
     nested = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
     schema = T.StructType([
         nested.schema["row"], T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+        T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()),
+        *([nested.schema["text"]] if with_text else [])])
     return in_batches(nested, work, schema)
 
 
@@ -107,8 +111,8 @@ def held_out(key):
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text",
-             lang: str = "lang") -> DataFrame:
+             lang: str = "lang", **options) -> DataFrame:
     """Learn from the rows that are not held out and have a key, and classify all rows."""
     model = learn(docs.where(F.col(key).isNotNull() & ~held_out(F.col(key))),
                   key=key, text=text, lang=lang)
-    return classify(docs, model, text)
+    return classify(docs, model, text, **options)

@@ -21,7 +21,7 @@ def test_odd_rows(spark):
              "de" if i % 2 else "en") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     odd = spark.createDataFrame(
-        [(1, None, None), (2, "", "en"), (3, "12 !!", "de"), (4, "und nicht die der das " * 9000, None),
+        [(1, None, None), (2, "", "en"), (3, "12 !! ²½", "de"), (4, "und nicht die der das " * 9000, None),
          (4, "the and of that " * 20, "xx"), (None, "the with of and " * 20, None)],
         "doc_id bigint, text string, lang string").withColumns(
             {"row": F.lit(1), "score": F.lit("clash"), "lang_pred": F.lit(2)})
