@@ -9,15 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, slices
+from tabscout.session import materialise
+
+from .common import in_batches, parallelism, slices
 from .words import words
 
 #: Characters of benchmark text that one pass over the documents takes as queries.
 BLOCK_CHARACTERS = 8_000_000
-#: Documents that the latent space is fitted on, at most about this many.
-SAMPLE_DOCS = 20_000
 #: Words of a passage, and the step from passage to passage.
 PASSAGE, STEP = 48, 16
+#: Longest piece of an item, words of a passage and step from passage to passage: every piece
+#: lies whole in some passage of the first line that takes it.
+WINDOWS = ((5, 8, 4), (9, 16, 8), (17, 24, 8), (33, PASSAGE, STEP))
+PIECE = 32
+#: A passage that holds this share of a piece's length is a candidate at any cosine.
+LEAST_PART = 0.6
+#: Bytes of a part of the sums that the latent space is fitted from.
+PART_BYTES = 1 << 20
 
 
 @dataclass
@@ -52,10 +60,30 @@ def queries_of(rows: list[tuple]) -> Queries:
     return Queries(ids, items, answers, known)
 
 
-def _texts(batches, most=2 << 20):
-    for batch in slices(batches, "text", most):
-        hashes, stops = words([(t or "").lower().encode() for t in batch.column("text").to_pylist()], True)
-        yield batch, hashes, stops
+def pieces_of(queries: Queries) -> tuple[list[np.ndarray], np.ndarray]:
+    """The items cut into even pieces of at most `PIECE` words, and the item of each piece."""
+    cut = [np.array_split(item, -(-len(item) // PIECE)) for item in queries.items]
+    return [p for parts in cut for p in parts], np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+
+
+def encoded(docs: DataFrame, queries: Queries) -> DataFrame:
+    """(doc_id, words): every row's words as places in the vocabulary, 32 bits each."""
+    def encode(batches):
+        for batch in slices(batches, "text", 2 << 20):
+            hashes, stops = words([(t or "").lower().encode() for t in batch.column("text").to_pylist()], True)
+            parts = np.split(queries.features(hashes).astype(np.int32), stops[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["doc_id", "words"])
+
+    return in_batches(docs, encode, "doc_id bigint, words binary")
+
+
+def _coded(batches, most=2 << 20):
+    for batch in slices(batches, "words", most):
+        parts = batch.column("words").to_pylist()
+        stops = np.cumsum([len(p) // 4 for p in parts])
+        yield batch, np.frombuffer(b"".join(parts), np.int32), stops
 
 
 def document_frequencies(docs: DataFrame, queries: Queries) -> tuple[np.ndarray, int]:
@@ -67,8 +95,7 @@ def document_frequencies(docs: DataFrame, queries: Queries) -> tuple[np.ndarray,
 
     def count(batches):
         total, seen = np.zeros(size + 1, np.int64), 0
-        for batch, hashes, stops in _texts(batches):
-            at = queries.features(hashes)
+        for batch, at, stops in _coded(batches):
             doc = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
             pairs = np.unique(doc[at < size] * np.int64(size + 1) + at[at < size])
             total += np.bincount(pairs % (size + 1), minlength=size + 1)
@@ -114,9 +141,9 @@ def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int =
 
     Randomised SVD in one pass: each task multiplies its passages with a random matrix and
     their transpose with the outcome, the sums give the Nystroem form of A'A, whose leading
-    eigenvectors are wanted. The passages are all those of a bounded sample of documents
-    (`SAMPLE_DOCS`, by a hash) in at most 16 tasks, and the items themselves, scaled to
-    weigh four times as much as all the passages.
+    eigenvectors are wanted. The passages are all those of all documents, and the items
+    themselves, scaled to weigh four times as much as all the passages. The sums of the tasks are
+    folded in parts before the driver gets one of each.
     """
     width = min(rank + 16, len(queries.vocabulary))
     omega = np.random.default_rng(seed).standard_normal((len(idf), width)).astype(np.float32)
@@ -138,26 +165,41 @@ def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int =
 
     def sketch(batches):
         total, n = np.zeros((len(idf), width), np.float64), 0
-        for _, hashes, stops in _texts(batches, 1 << 20):
-            at = queries.features(hashes)
+        for _, at, stops in _coded(batches, 1 << 20):
             starts = np.concatenate([
                 np.arange(low, high, PASSAGE) for low, high in zip([0, *stops[:-1]], stops, strict=True)
             ] or [np.zeros(0, np.int64)])
             total += passages(at, starts.astype(np.int64))
             n += len(starts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())],
-            names=["n", "sums"])
+        if n:
+            yield from sent({k: total[low:low + part] for k, low in enumerate(range(0, len(idf), part))}, n)
 
-    n_docs = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    def sent(sums, n):
+        for k, values in sums.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k], pa.int32()), pa.array([n if k == 0 else 0], pa.int64()),
+                pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "sums"])
+
+    def fold(batches):
+        sums, n = {}, 0
+        for batch in batches:
+            for k, more, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(values, np.float32)
+                sums[k] = sums[k] + values if k in sums else values.astype(np.float64)
+                n += more
+        yield from sent(sums, n)
+
+    schema = "part int, n bigint, sums binary"
+    part = max(1, PART_BYTES // (4 * width))
+    spread = parallelism(docs.sparkSession)
+    sums = in_batches(in_batches(docs.coalesce(spread), sketch, schema).repartition(spread, "part"), fold, schema)
     items = np.concatenate([queries.features(i) for i in queries.items])
     begins = np.cumsum([0, *[len(i) for i in queries.items[:-1]]])
     own = passages(items, begins)
     total, n = np.zeros_like(own), 0
-    for r in in_batches(sample.repartition(16), sketch, "n bigint, sums binary").collect():
-        total += np.frombuffer(r["sums"], np.float32).reshape(total.shape)
+    for r in sums.toLocalIterator():
+        low = r["part"] * part
+        total[low:low + part] += np.frombuffer(r["sums"], np.float32).reshape(-1, width)
         n += r["n"]
     total += own * max(1.0, 4 * n / len(queries.items))
     core = omega.T.astype(np.float64) @ total
@@ -194,57 +236,72 @@ def _masks(item: np.ndarray) -> dict[int, int]:
 def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarray,
             least_cosine: float, least_match: float, paraphrase: float) -> DataFrame:
     latent = idf[:, None] * basis
-    vectors = np.array([latent[queries.features(i)].sum(0) for i in queries.items])
+    items = [queries.features(i) for i in queries.items]
+    pieces, owner = pieces_of(queries)
+    pieces = [queries.features(p) for p in pieces]
+    vectors = np.array([latent[p].sum(0) for p in pieces])
     norms = np.linalg.norm(vectors, axis=1)
     unit = vectors / np.maximum(norms, 1e-12)[:, None]
+    lengths = np.array([len(p) for p in pieces])
     # Items of nothing but common words have no latent vector; their words are looked for
-    # by the same sequence check in every passage that holds all of them.
-    blank = np.flatnonzero(norms <= 1e-6)
-    weights = [idf[queries.features(i)].sum() for i in queries.items]
-    # A passage with less weight than half of the lightest item's cannot hold half of any.
-    light = 0.5 * min([w for w, n in zip(weights, norms, strict=True) if n > 1e-6], default=np.inf)
+    # by the same sequence check in every passage.
+    blank = np.setdiff1d(np.arange(len(items)), owner[norms > 1e-6])
+    # At the least match some piece lacks no more than that share of its words, so it shows at
+    # least so many weighty ones; a passage with fewer shows no piece.
+    shown = np.array([max(1, int((idf[p] > 0).sum()) - int((1 - min(least_match, paraphrase)) * len(p) + 1e-9))
+                      for p in pieces])
+    lines, shorter = [], 0
+    for longest, size, step in WINDOWS:
+        own = np.flatnonzero((lengths > shorter) & (lengths <= longest) & (norms > 1e-6))
+        shorter = longest
+        if len(own):
+            # Of an item's pieces any may be the one that shows.
+            least = min(shown[np.isin(owner, owner[own]) & (norms > 1e-6)])
+            lines.append((size, step, own, least))
 
     def find(batches):
-        masks = [_masks(i) for i in queries.items]
-        tails = [_masks(i[-a:]) for i, a in zip(queries.items, queries.answers, strict=True)]
-        for batch, hashes, stops in _texts(batches, 2 << 20):
-            at = queries.features(hashes)
+        masks = [_masks(i) for i in items]
+        tails = [_masks(i[-a:]) for i, a in zip(items, queries.answers, strict=True)]
+        for batch, at, stops in _coded(batches, 1 << 20):
             names, out = batch.column("doc_id").to_pylist(), {}
             low_of = np.append(0, stops[:-1])
-            starts = [np.arange(low, high, STEP) for low, high in zip(low_of, stops, strict=True)]
-            doc = np.repeat(np.arange(len(names)), [len(s) for s in starts])
-            chunk = np.concatenate(starts or [np.zeros(0)]).astype(np.int64)
-            # Words before each one, the weighty ones and their weight: passages as differences.
-            ends = np.minimum(chunk + PASSAGE, stops[doc]) if len(chunk) else chunk
-            weight = idf[at]
-            before = np.append(0, np.cumsum(weight, dtype=np.float64))
-            strong = np.flatnonzero(before[ends] - before[chunk] >= light)
-            heavy = np.flatnonzero(weight > 0)
-            first, last = np.searchsorted(heavy, chunk[strong]), np.searchsorted(heavy, ends[strong])
-            pairs = []
-            for some in np.array_split(np.arange(len(strong)), len(strong) // 2048 + 1):
-                if not len(some):
-                    continue
-                n = last[some] - first[some]
-                begin = np.cumsum(n) - n
-                words_of = heavy[np.repeat(first[some] - begin, n) + np.arange(n.sum())]
-                passages = _sums(latent[at[words_of]], begin)
-                size = np.linalg.norm(passages, axis=1)
-                shared = passages @ unit.T
-                i, j = np.nonzero((shared >= least_cosine * size[:, None])
-                                  & (shared >= 0.5 * norms[None, :]) & (norms > 1e-6)[None, :])
-                pairs += zip(strong[some[i]].tolist(), j.tolist(), strict=True)
+            heavy = np.flatnonzero(idf[at] > 0)
+            pairs = set()
+
+            def passages(size, step):
+                """Document, first word and end of each passage."""
+                n = -(-(stops - low_of) // step)
+                doc = np.repeat(np.arange(len(names)), n)
+                begin = low_of[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
+                return doc, begin, np.minimum(begin + size, stops[doc])
+
+            for size, step, own, least in lines:
+                doc, begin, end = passages(size, step)
+                first, last = np.searchsorted(heavy, begin), np.searchsorted(heavy, end)
+                strong = np.flatnonzero(last - first >= least)
+                for some in np.array_split(strong, len(strong) // 2048 + 1):
+                    if not len(some):
+                        continue
+                    n = last[some] - first[some]
+                    ahead = np.cumsum(n) - n
+                    words_of = heavy[np.repeat(first[some] - ahead, n) + np.arange(n.sum())]
+                    sums = _sums(latent[at[words_of]], ahead)
+                    shared = sums @ unit[own].T
+                    i, j = np.nonzero(
+                        (shared >= least_cosine * np.maximum(np.linalg.norm(sums, axis=1), 1e-6)[:, None])
+                        | (shared >= LEAST_PART * norms[own][None, :]))
+                    i = some[i]
+                    pairs.update(zip(doc[i].tolist(), owner[own[j]].tolist(), begin[i].tolist(),
+                                     end[i].tolist(), strict=True))
             if len(blank):
-                pairs += [(p, j) for p in range(len(chunk)) for j in blank.tolist()]
-            for p, j in pairs:
-                d = int(doc[p])
+                for d, low, high in zip(*(x.tolist() for x in passages(PASSAGE, STEP)), strict=True):
+                    pairs.update((d, j, low, high) for j in blank.tolist())
+            for d, j, low, high in pairs:
                 best = out.get((d, j), (0.0, 0))
                 if best[0] >= 1:
                     continue
-                item, reach = queries.items[j], len(queries.items[j]) + PASSAGE
-                low = max(int(low_of[d]), int(chunk[p]) - reach)
-                high = min(int(stops[d]), int(chunk[p]) + PASSAGE + reach)
-                text = hashes[low:high]
+                item, reach = items[j], len(items[j]) + PASSAGE
+                text = at[max(int(low_of[d]), low - reach):min(int(stops[d]), high + reach)]
                 match = common_subsequence(masks[j], len(item), text) / len(item)
                 if match > best[0]:
                     n = queries.answers[j]
@@ -265,11 +322,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.4,
           item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, match, answer_match): each document and benchmark item it leaks.
 
-    Texts are lower-cased; words end at ASCII white space and punctuation. Passages of
-    48 words at every 16th word and the items become TF-IDF vectors over the items'
-    words, with document frequencies over all documents, and are compared by cosine in
-    the latent space of a randomised SVD: a candidate has the cosine and half of the item's
-    length along the item. For each candidate, ``match`` is the longest common
+    Texts are lower-cased; words end at ASCII white space and punctuation. Items are cut
+    into even pieces of at most 32 words. Passages of 8, 16, 24 or 48 words, so that a piece
+    lies whole in one and fills a good part of it, and the pieces become TF-IDF vectors over the
+    items' words, with document frequencies over all documents, and are compared in the
+    latent space of a randomised SVD: a document and an item are a candidate where the passage has
+    the cosine with any piece, or 0.6 of the piece's length along it. For each candidate,
+    ``match`` is the longest common
     word subsequence of item and surroundings as a share of the item. A document leaks an item
     at ``least_match``, or from ``paraphrase`` on if the item's last sentence, its answer, is
     found at ``least_match`` too.
@@ -288,10 +347,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.4,
         queries = queries_of([(r["item_id"], r["text"]) for r in part.collect()])
         if not queries.items:
             continue
-        df, n = document_frequencies(rows, queries)
+        coded = materialise(encoded(rows, queries))
+        df, n = document_frequencies(coded, queries)
         idf = idf_weights(df, n)
-        basis = latent_basis(rows, queries, idf, rank)
-        here = _search(rows, queries, idf, basis, least_cosine, least_match, paraphrase)
+        basis = latent_basis(coded, queries, idf, rank)
+        here = _search(coded, queries, idf, basis, least_cosine, least_match, paraphrase)
         found = here if found is None else found.union(here)
     if found is None:
         return spark.createDataFrame(

@@ -59,3 +59,34 @@ def test_paraphrases_and_odd_rows(spark):
     assert got == sorted(once * 2)
     assert decontaminate.leaks(docs.limit(0), items).count() == 0
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_copies_of_short_and_long_items(spark):
+    """Verbatim and 80 % copies of items of many lengths, against the sequence rule on all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    filler = lambda n: [word() for _ in range(n)]
+    items = {n * 10 + k: filler(n) for n in (5, 48, 80, 100, 200, 400) for k in range(3)}
+    # Foreign passages share words with items too.
+    known = [w for i in items.values() for w in i]
+    noise = lambda n: [rng.choice(known) if rng.random() < 0.2 else word() for _ in range(n)]
+    rows = {}
+    for item in items.values():
+        gone = set(rng.sample(range(len(item)), len(item) // 5))
+        for copy in (item, [word() if i in gone else w for i, w in enumerate(item)]):
+            for before in (0, 7, 300 + rng.randrange(16)):
+                rows[len(rows)] = noise(before) + copy + noise(before and 200)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, asked).collect()}
+    number = {w: i for i, w in enumerate({w for t in [*rows.values(), *items.values()] for w in t})}
+    want = set()
+    for i, item in items.items():
+        masks = decontaminate._masks(np.array([number[w] for w in item]))
+        for d, text in rows.items():
+            found = decontaminate.common_subsequence(masks, len(item), np.array([number[w] for w in text]))
+            if found >= 0.8 * len(item):
+                want.add((d, i))
+    assert len(want) >= len(rows) and got >= want
+    # Besides, only what has a whole answer and most of the item's words.
+    assert len(got - want) <= 0.05 * len(want)
