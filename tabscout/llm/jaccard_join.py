@@ -192,6 +192,8 @@ def _verify(percent):
         sigs = table.column("sig").to_numpy()
         cluster, side = table.column("cluster").to_numpy(), table.column("side").to_numpy()
         copies = table.column("copies").to_numpy()
+        # A group has one pair of blocks; a partner block that nobody is in links nothing.
+        same = table.column("low")[0] == table.column("high")[0]
         sets, rare = read("shingles"), read("rare")
         out_sig, out_root, out_links = [], [], []
         order = np.lexsort((sigs, side, cluster))
@@ -199,8 +201,9 @@ def _verify(percent):
         for members in np.split(order, edges[1:]):
             left = members[side[members] == 0]
             right = members[side[members] == 1]
-            same = not len(right)
             right = left if same else right
+            if not len(left) or not len(right):
+                continue
             pick = lambda things, at: [things[i] for i in at]
             hit = linked(pick(sets, left), pick(sets, right), pick(rare, left), pick(rare, right),
                          percent, same)

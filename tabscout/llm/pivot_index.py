@@ -66,10 +66,11 @@ def _links(table, least: float, shared: int):
     bits = np.unpackbits(marks, axis=1).astype(np.float32)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1)
-    same = not len(right)
+    same = table.column("low")[0] == table.column("high")[0]
     right = left if same else right
-    out_i, out_j = [], []
-    for low in range(0, len(left), 256):
+    none = np.zeros(0, np.int64)
+    out_i, out_j = [none], [none]
+    for low in range(0, len(left) if len(right) else 0, 256):
         rows = left[low:low + 256]
         hit = bits[rows] @ bits[right].T >= shared
         # Counted only in the list of the first pivot that both have.

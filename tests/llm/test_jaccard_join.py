@@ -83,6 +83,17 @@ def test_families_ties_and_odd_rows(spark, monkeypatch, block):
     check(spark, rows)
 
 
+def test_few_long_texts_in_many_blocks(spark, monkeypatch):
+    """Blocks are cut by shingles too, and some of a small cluster's hold nobody."""
+    import random
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
+    rng = random.Random(9)
+    texts = []
+    for k, n in enumerate((2, 2, 2, 3, 3, 4)):
+        texts += family(rng, [f"d{k}.{i}" for i in range(700)], n, .005)
+    check(spark, list(enumerate(texts)))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard_join.near_duplicates(none).count() == 0

@@ -60,3 +60,11 @@ def test_odd_rows(spark):
         (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True),
         (9, 0, 9, True), (10, 0, 10, True), (11, 0, 11, True), (12, 4, 1, False)]
     assert pivot_index.near_vectors(df.limit(0)).count() == 0
+
+
+def test_blocks_that_hold_nobody(spark, monkeypatch):
+    monkeypatch.setattr(pivot_index, "BLOCK", 1)
+    rows = [(i, [1.0, 0.01 * i, 0.0], "a") for i in range(3)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    got = pivot_index.near_vectors(vectors).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0)]
