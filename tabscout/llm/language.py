@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .common import in_batches, slices
 
 UNKNOWN = "und"
+#: So many labelled rows of each language are learned from, whatever the sample gives.
+LEAST_ROWS = 16
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -25,30 +27,38 @@ def learn(labelled: DataFrame, dictionary_bytes: int = 1 << 16, key: str = "doc_
     """A raw-content dictionary for each language label.
 
     The sample is bounded: of each language's labelled rows, in the order of a hash,
-    about four dictionaries' worth of text, each text cut at one dictionary's size. Rows
-    with a null label or text are not used. The driver gets the dictionaries' worth of text per
+    about four dictionaries' worth of text, each text cut at one dictionary's size, and in any
+    case the least row of each of `LEAST_ROWS` parts of the hash's range, so a language of a few
+    long texts has its dictionary too. Rows with a null label or text or without a letter up to the
+    cut are not used, equal rows count once. The driver gets some dictionaries' worth of text per
     language, never more.
     """
     rows = labelled.select(
-        F.xxhash64(key, text).alias("order"), F.col(text).alias("text"), F.col(lang).alias("lang")
-    ).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
-        F.sum(F.octet_length("text")).alias("n")).collect()}
+        F.xxhash64(key, text).alias("order"),
+        F.substring(text, 1, dictionary_bytes).alias("text"), F.col(lang).alias("lang")
+    ).where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
+    sizes, kept = {}, []
+    for r in rows.groupBy("lang", F.pmod("order", F.lit(LEAST_ROWS)).alias("part")).agg(
+            F.sum(F.least(F.octet_length("text"), F.lit(dictionary_bytes))).alias("n"),
+            F.min("order").alias("least")).collect():
+        sizes[r["lang"]] = sizes.get(r["lang"], 0) + r["n"]
+        kept.append(r["least"])
     if not sizes:
         return {}
     # A share of the hash's range for each language.
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (
         name, min(1.0, 4 * dictionary_bytes / max(n, 1)))])[F.col("lang")]
     place = F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < share).select(
-        "lang", F.struct(place.alias("place"), F.substring(
-            "text", 1, dictionary_bytes).alias("text")).alias("item"))
+    sample = rows.where((place < share) | F.col("order").isin(kept)).groupBy("lang", "order").agg(
+        F.first("text").alias("text")).select(
+        "lang", F.struct(place.alias("place"), "text").alias("item"))
     model = {}
     for r in sample.groupBy("lang").agg(
             F.array_sort(F.collect_list("item")).alias("items")).collect():
         content = b" ".join(letters(i["text"]) for i in r["items"])[:dictionary_bytes]
-        if len(content) >= 8:
-            model[r["lang"]] = content
+        if content:
+            # No dictionary is shorter than 8 bytes.
+            model[r["lang"]] = content.rjust(8)
     return model
 
 

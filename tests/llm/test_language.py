@@ -34,3 +34,18 @@ def test_odd_rows(spark):
     assert language.learn(odd.limit(0)) == {}
     assert language.classify(odd, {}).where("lang_pred <> 'und'").count() == 0
     assert language.classify(odd.limit(0), model).count() == 0
+
+
+def test_few_very_long_texts(spark):
+    """A label of a few very long texts, one of a single word, and one of many equal rows."""
+    rows = [(i, "the of and that with " * 30, "en") for i in range(400)]
+    rows += [(1000 + i, "der die das und nicht " * (100_000 if i == 0 else 40_000), "de") for i in range(3)]
+    rows += [(2000, "abc", "xx"), (2001, "12 34", "yy"), (2002, None, "zz")]
+    rows += [(3000, "le la et les pour " * 50, "fr")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(docs, dictionary_bytes=1 << 10)
+    assert set(model) == {"en", "de", "xx", "fr"}
+    assert len(model["de"]) == 1 << 10 and all(len(m) <= 1 << 10 for m in model.values())
+    texts = docs.where("doc_id IN (0, 1000, 3000)").distinct()
+    got = language.classify(texts, model).select("row.lang", "lang_pred", "rejected").collect()
+    assert [(r.lang_pred, r.rejected) for r in got] == [(r.lang, False) for r in got]
