@@ -1,7 +1,8 @@
 """The corpus pipeline: from documents to packed training sequences in five stages.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the
-last return the columns of `documents`.
+last return the columns of `documents`. Nulls may stand in any column and rows may repeat or share
+an id: rows are told apart by a row id made for a stage's input, never joined by `doc_id`.
 """
 
 from __future__ import annotations
@@ -11,9 +12,15 @@ from pyspark.sql import functions as F
 from tabscout.llm import decontaminate, jaccard_join, language, line_templates, packing
 from tabscout.session import materialise
 
+ROW = "row_id"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _numbered(docs):
+    """The rows with a row id, stored so that it is the same for all who read it."""
+    return materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)))
+
+
 def identify_language(spark, docs, sf_dir):
     """Keeps the documents whose language is clear; the label becomes the prediction.
 
@@ -31,25 +38,33 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
     A document that loses every line goes; the count of characters follows the text.
     """
-    kept = line_templates.drop_recurring_lines(docs).where(
-        "n_dropped = 0 OR n_dropped < n_lines").select("doc_id", F.col("text").alias("new_text"))
-    return docs.select("doc_id", "lang", "source").join(kept, "doc_id").select(
-        "doc_id", F.col("new_text").alias("text"), "lang", "source",
-        F.length("new_text").cast("long").alias("n_chars"))
+    kept = line_templates.drop_recurring_lines(docs, keep=("lang", "source"))
+    return kept.where("n_dropped = 0 OR n_dropped < n_lines").select(
+        "doc_id", "text", "kept.lang", "kept.source", F.length("text").cast("long").alias("n_chars"))
 
 
 def keep_one_of_each_group(spark, docs, sf_dir):
-    """Of each component of near-duplicate documents the one with the least id stays."""
-    groups = jaccard_join.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each component of near-duplicate documents one row with the least id stays.
+
+    Repeated rows are a component too; null ids come last. Documents without a word stay.
+    """
+    rows = _numbered(docs)
+    groups = materialise(jaccard_join.near_duplicates(rows, key=ROW).select(
+        F.col("doc_id").alias(ROW), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
+    first = groups.join(rows.select("doc_id", ROW), ROW).groupBy("component_id").agg(
+        F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = materialise(groups.select(ROW).join(first, ROW, "left_anti"))
+    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that leak an item of the benchmark go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = materialise(decontaminate.leaks(docs, items).select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(leaked, "doc_id", "left_anti")
+    rows = _numbered(docs)
+    leaked = materialise(decontaminate.leaks(rows, items, key=ROW).select(
+        F.col("doc_id").alias(ROW)).distinct())
+    return rows.join(leaked, ROW, "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark, docs, sf_dir):

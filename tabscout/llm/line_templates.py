@@ -69,8 +69,10 @@ def _templates(variants: DataFrame, lead: int, similar: float, levels: int,
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, lead: int = 5, similar: float = 0.8,
-                         levels: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text): every row without its recurring lines.
+                         levels: int = 3, key: str = "doc_id", text: str = "text",
+                         keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text[, kept]): every row without its recurring lines.
+    ``kept`` is a struct of the columns in ``keep``, if there are any.
 
     Lines end at line feeds. A line's tokens stand between white space; a token with a digit
     is a variable field. A tree of fixed depth, by token count, ``lead`` leading tokens and
@@ -87,7 +89,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, lead: int = 5, simi
     of a document is shuffled once, at the end. Counts are folded before every shuffle:
     a line that a third of all documents hold arrives as one row of each task.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn(
+    carried = [F.struct(*keep).alias("kept")] if keep else []
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carried).withColumn(
         "row", F.xxhash64("doc_id", "text"))
     lines = _lines(rows, lead)
     frequent = materialise(lines.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(
@@ -113,4 +116,5 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, lead: int = 5, simi
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
         F.when(F.size(gone) == 0, F.col("text")).otherwise(
-            F.array_join(F.transform(kept, lambda i: split[i]), "\n")).alias("text"))
+            F.array_join(F.transform(kept, lambda i: split[i]), "\n")).alias("text"),
+        *(["kept"] if keep else []))

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a plain rule on its own input."""
 
+import random
 import re
 
 import duckdb
@@ -46,3 +47,31 @@ def test_stages(spark, data, tmp_path):
     again = pipeline.run(spark, data)
     assert again.select("doc_id", "piece", "ids_crc32").exceptAll(
         packed.select("doc_id", "piece", "ids_crc32")).count() == 0
+
+
+def test_null_and_repeated_ids(spark, data):
+    """No stage loses or multiplies rows whose ids are null or shared."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two, three, four, five = (text(60) for _ in range(5))
+    rows = [(None, one, "en", None, 1), (None, two, None, "web", None),  # different rows without an id
+            (5, three, "en", "a", 1), (5, four, "de", "b", 2),  # one id, two texts
+            (7, five, "en", "a", 3), (7, five, "en", "a", 3), (None, five, "en", "a", 3), (9, five, None, None, 3),
+            (8, "", "en", "a", 0), (8, "", "en", "a", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    shown = lambda frame: sorted(map(str, (tuple(r)[:4] for r in frame.collect())))
+    whole = sorted(str(r[:4]) for r in rows)
+    assert shown(pipeline.drop_repeated_lines(spark, docs, data)) == whole
+    near = pipeline.keep_one_of_each_group(spark, docs, data)
+    assert shown(near) == sorted(str(r[:4]) for r in [*rows[:5], *rows[8:]])
+
+    item = spark.read.parquet(f"{data}/benchmark.parquet").where("length(text) > 80").first().text
+    bad = [(None, f"{one} {item} {two}", "en", "a", 1), (5, item, "en", "a", 1), (5, item, "en", "a", 1)]
+    leaky = spark.createDataFrame([*rows, *bad], docs.schema)
+    assert shown(pipeline.drop_contaminated(spark, leaky, data)) == whole
+
+    plain_text = spark.createDataFrame([(None, "the of and that with " * 30, "en", None, 5)] * 2 + [
+        (i, "der die das und nicht " * 30, "de", "a", 5) for i in (1, 2, 2, 3, 4, 6, None)], docs.schema)
+    assert pipeline.identify_language(spark, plain_text, data).count() == 9
+    packed = pipeline.pack_sequences(spark, docs, data)
+    assert packed.where("piece = 0").count() >= 8
