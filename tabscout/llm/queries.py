@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, line_templates, packing, pivot_index, shard_ring, suffix_dedup, url_filter, wavelet
+from . import decontaminate, jaccard_join, language, line_templates, packing, pii, pivot_index, shard_ring, sql_twins, suffix_dedup, url_filter, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -203,6 +203,14 @@ def op10(spark, sf_dir):
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13(spark, sf_dir):
+    spans = F.col("spans")
+    return pii.find_pii(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[pii.counted(spans, k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.digest(pii.base_only(spans)), 256).alias("base_sha256"),
+        pii.digest(spans).alias("spans"))
+
+
 QUERIES = {
     "op1_url_filter": (op1, OP1_SQL),
     "op2_shard_ring": (op2, None),
@@ -214,4 +222,5 @@ QUERIES = {
     "op8_best_fit_pack": (op8, None),
     "op9_decontaminate": (op9, None),
     "op10_pivot_index": (op10, None),
+    "op13_pii": (op13, sql_twins.OP13_SQL),
 }
