@@ -96,3 +96,45 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM rows LEFT JOIN told USING (r)
 """
+
+
+_OFF = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+
+
+def _nearest(k: int) -> str:
+    return f"""
+near{k} AS (
+  SELECT r, p, min({{'d': {_OFF}, 'e': e}}) AS best FROM parts JOIN book{k} USING (p) GROUP BY r, p),"""
+
+
+def _renewed(k: int) -> str:
+    return _nearest(k) + f"""
+sums{k} AS (
+  SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT p, best.e AS e, i, CAST(sum(x[i]) AS DOUBLE) AS s, count(*) AS n
+    FROM near{k} JOIN parts USING (r, p), unnest(range(1, len(x) + 1)) AS u(i)
+    GROUP BY p, best.e, i) GROUP BY p, e),
+book{k + 1} AS (
+  SELECT p, e, coalesce(s.c, b.c) AS c FROM book{k} b LEFT JOIN sums{k} s USING (p, e)),"""
+
+
+OP11_SQL = """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+         list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(
+    embedding, lambda v: v IS NOT NULL AND isfinite(v))) = len(embedding)),
+parts AS (
+  SELECT r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x
+  FROM kept, unnest(range(16)) AS u(p)),
+book0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 64),""" + _renewed(0) + _renewed(1) + (
+    _nearest(2)) + """
+coded AS (
+  SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+         CAST(sum(best.d) AS BIGINT) AS error FROM near2 GROUP BY r),
+listed AS (
+  SELECT string_agg(array_to_string(c, ','), ',' ORDER BY p, e) AS entries FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       sha256(entries) AS codebooks_sha256
+FROM kept JOIN coded USING (r), listed
+"""

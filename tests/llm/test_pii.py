@@ -133,7 +133,7 @@ def test_sql_twin_finds_the_same(spark):
         "ssn 123-45-6789, tax id 123-45-6780 or 1-123-45-6789", "order ssn 123-45-6789",
         "bank DE89 3704 0044 0532 0130 00 THEN GB82WEST12345698765432x GB82 WEST 1234 5698 7654 32",
         "call 499-555-6503, (499) 555-6503; +1 (499) 555-6503 and 9499-555-6503 fax 499.555.6503",
-        "é visa 4111 1111 1111 1111 4111-1111-1111-1112 000.0255.1.2 256.1.1.1 1.2.3.4.5.6.7.8",
+        "é visa 4111 1111 1111 1111; 4111-1111-1111-1112; 000.0255.1.2 256.1.1.1 1.2.3.4.5.6.7.8",
         "a@b.c_d@e.f@g.h %@x.y ä@z.w", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     spans = pii.find_pii(docs).select("doc_id", pii.digest("spans").alias("s")).collect()
