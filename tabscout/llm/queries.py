@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, line_templates, packing, pii, pivot_index, shard_ring, sql_twins, suffix_dedup, url_filter, vector_codes, wavelet
+from . import decontaminate, jaccard_join, language, lexical_search, line_templates, packing, pii, pivot_index, shard_ring, sql_twins, suffix_dedup, url_filter, vector_codes, wavelet
 from .common import table
 
 _START = "timestamp'2024-01-01 00:00:00'"
@@ -207,6 +207,10 @@ def op11(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13(spark, sf_dir):
     spans = F.col("spans")
     return pii.find_pii(table(spark, sf_dir, "documents")).select(
@@ -227,5 +231,6 @@ QUERIES = {
     "op9_decontaminate": (op9, None),
     "op10_pivot_index": (op10, None),
     "op11_vector_codes": (op11, sql_twins.OP11_SQL),
+    "op12_lexical_search": (op12, sql_twins.OP12_SQL),
     "op13_pii": (op13, sql_twins.OP13_SQL),
 }
