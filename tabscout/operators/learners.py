@@ -10,13 +10,10 @@ from collections.abc import Callable, Mapping
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,9 +23,7 @@ from ..session import materialise, scratch_path
 from .kernel import KernelClassifier, KernelRegressor
 from .neighbors import average, neighbours, vote
 from .preprocess import FEATURES, LABEL
-
-# Trees without a depth limit: the deepest Spark grows.
-UNLIMITED_DEPTH = 30
+from .trees import HistogramBooster, HistogramForest
 
 
 class FitTimeLearner(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable,
@@ -81,39 +76,6 @@ class Ridge(FitTimeLearner):
             regParam=self.getOrDefault(self.alpha) * (spread or 0.0) / n).fit(dataset)
 
 
-class BoostedTrees(FitTimeLearner):
-    """Gradient boosted trees; more than two classes are fitted one against the rest."""
-
-    trees = Param(Params._dummy(), "trees", "boosting rounds", TypeConverters.toInt)
-    depth = Param(Params._dummy(), "depth", "tree depth", TypeConverters.toInt)
-    rate = Param(Params._dummy(), "rate", "learning rate", TypeConverters.toFloat)
-    rowShare = Param(Params._dummy(), "rowShare", "rows per tree", TypeConverters.toFloat)
-    columnShare = Param(Params._dummy(), "columnShare", "columns per node",
-                        TypeConverters.toString)
-    parallelism = Param(Params._dummy(), "parallelism", "classes fitted at once",
-                        TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, featuresCol=FEATURES, labelCol=LABEL, trees=100, depth=3, rate=0.1,
-                 rowShare=1.0, columnShare="all", parallelism=2):
-        super().__init__()
-        self._setDefault(featuresCol=FEATURES, labelCol=LABEL, trees=100, depth=3, rate=0.1,
-                         rowShare=1.0, columnShare="all", parallelism=2)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> Model:
-        booster = GBTClassifier(
-            **self._io(), maxIter=self.getOrDefault(self.trees),
-            maxDepth=self.getOrDefault(self.depth), stepSize=self.getOrDefault(self.rate),
-            subsamplingRate=self.getOrDefault(self.rowShare),
-            featureSubsetStrategy=self.getOrDefault(self.columnShare), seed=K.SEED)
-        top = dataset.agg(F.max(self.getLabelCol())).first()[0]
-        if top is None or top < 2:
-            return booster.fit(dataset)
-        return OneVsRest(classifier=booster, **self._io(),
-                         parallelism=self.getOrDefault(self.parallelism)).fit(dataset)
-
-
 class Neighbours(FitTimeLearner):
     """k nearest neighbours, exact: votes for classes, the mean for numbers."""
 
@@ -186,9 +148,9 @@ CLASSIFIER_MAKERS: dict[str, _Make] = {
     "logistic regression": lambda maxIter=3000: PenalisedLogistic(maxIter=maxIter),
     "decision tree": lambda maxDepth=10: DecisionTreeClassifier(
         **_IO, maxDepth=maxDepth, seed=K.SEED),
-    "random forest": lambda numTrees=200, maxDepth=15: RandomForestClassifier(
-        **_IO, numTrees=numTrees, maxDepth=maxDepth, featureSubsetStrategy="sqrt", seed=K.SEED),
-    "gradient boosting": lambda trees=100, depth=3: BoostedTrees(trees=trees, depth=depth),
+    "random forest": lambda numTrees=200, maxDepth=15, bootstrap=True, nodeFeatures="sqrt":
+        HistogramForest(trees=numTrees, depth=maxDepth, bootstrap=bootstrap, nodeFeatures=nodeFeatures),
+    "gradient boosting": lambda trees=100, depth=3: HistogramBooster(trees=trees, depth=depth),
     "knn": lambda k=5: Neighbours(k=k),
     "naive bayes": lambda: NaiveBayes(**_IO, modelType="gaussian"),
     "svm": lambda width=256, maxIter=100, probability=True: KernelClassifier(
@@ -200,8 +162,8 @@ REGRESSOR_MAKERS: dict[str, _Make] = {
     "ridge": lambda alpha=1.0: Ridge(alpha=alpha),
     # Asking for a regression tree gives boosted trees; callers rely on it.
     "decision tree": lambda trees=100, depth=3: _boosted_regressor(trees, depth),
-    "random forest": lambda numTrees=200, maxDepth=15: RandomForestRegressor(
-        **_IO, numTrees=numTrees, maxDepth=maxDepth, featureSubsetStrategy="all", seed=K.SEED),
+    "random forest": lambda numTrees=200, maxDepth=15, bootstrap=True: HistogramForest(
+        regression=True, trees=numTrees, depth=maxDepth, bootstrap=bootstrap, nodeFeatures="all"),
     "gradient boosting": lambda trees=100, depth=3: _boosted_regressor(trees, depth),
     "knn": lambda k=5: Neighbours(k=k, regression=True),
     "svm": lambda width=256, maxIter=100: KernelRegressor(width=width, maxIter=maxIter),
@@ -209,7 +171,7 @@ REGRESSOR_MAKERS: dict[str, _Make] = {
 
 
 def _boosted_regressor(trees: int, depth: int) -> Estimator:
-    return GBTRegressor(**_IO, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=K.SEED)
+    return HistogramBooster(regression=True, trees=trees, depth=depth)
 
 
 def make_learner(name: str, task: str, params: Mapping | None = None) -> Estimator:
@@ -224,13 +186,15 @@ def make_learner(name: str, task: str, params: Mapping | None = None) -> Estimat
 # The benchmark suite: official label -> (scaled features?, estimator).
 SUITE_MAKERS: dict[str, tuple[bool, _Make]] = {
     "LogisticRegression": (True, lambda maxIter=2000: PenalisedLogistic(maxIter=maxIter)),
-    "DecisionTree": (False, lambda maxDepth=UNLIMITED_DEPTH: DecisionTreeClassifier(
-        **_IO, maxDepth=maxDepth, seed=K.SEED)),
-    "RandomForest": (False, lambda numTrees=200, maxDepth=UNLIMITED_DEPTH: RandomForestClassifier(
-        **_IO, numTrees=numTrees, maxDepth=maxDepth, featureSubsetStrategy="sqrt", seed=K.SEED)),
+    # Depth 0: as deep as the rows allow.
+    "DecisionTree": (False, lambda maxDepth=0: HistogramForest(
+        trees=1, depth=maxDepth, bootstrap=False, nodeFeatures="all")),
+    "RandomForest": (False, lambda numTrees=200, maxDepth=0: HistogramForest(
+        trees=numTrees, depth=maxDepth)),
     "KNN": (True, lambda k=5: Neighbours(k=k)),
     "SVM": (True, lambda width=256, maxIter=100, probability=True: KernelClassifier(
         width=width, maxIter=maxIter, probability=probability)),
-    "XGBoost": (False, lambda trees=200, depth=6: BoostedTrees(
-        trees=trees, depth=depth, rate=0.1, rowShare=0.8, columnShare="0.8")),
+    "XGBoost": (False, lambda trees=200, depth=6, rowShare=0.8, columnShare=0.8: HistogramBooster(
+        trees=trees, depth=depth, rate=0.1, penalty=1.0, minHessian=1.0, rowShare=rowShare,
+        columnShare=columnShare, byHessian=True, prior=False)),
 }

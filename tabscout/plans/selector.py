@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import constants as K
 from ..functions.scalars import col, text_array
 from ..operators import benchlog, metrics
-from ..operators.learners import UNLIMITED_DEPTH
 from ..operators.preprocess import FEATURES, LABEL, NumericPrep
 from ..operators.split import stratified_split
 from ..operators.validate import require_columns
 from ..sources.artifacts import load_model, save_model
 
+# The deepest trees Spark grows.
+DEEPEST = 30
+
 
 @dataclass
 class Selector:
@@ -60,7 +62,7 @@ def balanced_weights(table: DataFrame, label: str = "model", output: str = "weig
 
 
 def train_selector(
-    log: DataFrame, seq: str = "seq", trees: int = 300, max_depth: int = UNLIMITED_DEPTH,
+    log: DataFrame, seq: str = "seq", trees: int = 300, max_depth: int = DEEPEST,
     holdout: bool = False,
 ) -> Selector:
     """Fit the forest on the best learner of every dataset.

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from . import (
     learner_queries, log_queries, metric_queries, prepare_queries, profile_queries, source_queries,
+    tree_queries,
 )
 
 ALL = {}
 for _module in (
     source_queries, profile_queries, prepare_queries, metric_queries, log_queries,
-    learner_queries,
+    learner_queries, tree_queries,
 ):
     ALL.update(_module.QUERIES)
 
