@@ -42,11 +42,12 @@ def value_dictionaries(
             codes = F.row_number().over(Window.orderBy("value")) - 1
             result[name] = own.select("value", codes.cast("double").alias("code")), True
         else:
-            result[name] = _ranked_by_range(own, entries, small), False
+            result[name] = ranked_by_range(own, entries, small), False
     return result
 
 
-def _ranked_by_range(values: DataFrame, size: int, small: int) -> DataFrame:
+def ranked_by_range(values: DataFrame, size: int, small: int) -> DataFrame:
+    """Adds ``code``, the rank of ``value`` from 0, without sorting all values in one task."""
     ranges = -(-size // small) * 2
     placed = materialise(
         values.repartitionByRange(ranges, "value").withColumn("part", F.spark_partition_id())
@@ -60,7 +61,7 @@ def _ranked_by_range(values: DataFrame, size: int, small: int) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
     return (
         placed.join(F.broadcast(offsets), "part")
-        .select("value", (F.col("start") + within).cast("double").alias("code"))
+        .select(*values.columns, (F.col("start") + within).cast("double").alias("code"))
     )
 
 

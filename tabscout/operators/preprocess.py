@@ -1,8 +1,8 @@
 """Fitted preprocessing: impute, scale, one-hot encode and assemble.
 
 The estimators compute exact statistics with DataFrame aggregates and return
-plain Spark ML stages, so a fitted pipeline runs in the JVM, can be saved, and
-scores streams.
+Spark ML stages, so a fitted pipeline can be saved and scores streams. It runs in
+the JVM but for the vectors of columns with very many categories.
 """
 
 from __future__ import annotations
@@ -12,23 +12,25 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import (
-    OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler,
+    OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler, VectorSizeHint,
 )
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import as_number, col, finite_or_null, quoted
-from .columnstats import bounded_collect
+from ..session import materialise
+from .dictionary import StoredOneHot, store_dictionary
 from .profile import partition_columns
 from .quantiles import exact_quantiles
 
 FEATURES = "ts_features"
 LABEL = "ts_label"
 
-# One-hot width is the width of every learner's coefficients, which Spark ML keeps
-# on the driver; beyond this a category column has to be encoded or dropped first.
-MAX_CATEGORIES = 1_000_000
+# Categories and characters that become part of the model's stages, the smallest columns first; the
+# dictionaries of the other columns are tables beside the model.
+INLINE_CATEGORIES = 100_000
+INLINE_CHARACTERS = 16_000_000
 
 
 def _text(value: str) -> str:
@@ -90,7 +92,11 @@ class NumericPrep(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable,
 class CategoryPrep(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable,
                    DefaultParamsWritable):
     """Most frequent value for missing ones, smallest on ties, then one-hot with sorted
-    categories; a value not seen in training becomes all zeros."""
+    categories; a value not seen in training becomes all zeros.
+
+    Any number of categories will do: those of large columns are stored as a table with the model
+    and joined when rows are encoded, with the same vectors as a result.
+    """
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None):
@@ -107,33 +113,51 @@ class CategoryPrep(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
             dataset.select(F.inline(cells)).filter("value IS NOT NULL")
             .groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
         )
-        seen = bounded_collect(
-            counts, "value", MAX_CATEGORIES,
-            f"columns {names} hold too many categories; encode or drop the widest first")
+        counts = materialise(counts)
+        facts = {r["i"]: r for r in counts.groupBy("i").agg(
+            F.count(F.lit(1)).alias("entries"), F.sum(F.length("value")).alias("characters"),
+            F.sum("n").alias("rows"), F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top"),
+        ).collect()}
+        inline, entries, characters = [], 0, 0
+        for i in sorted(facts, key=lambda i: (facts[i]["entries"], i)):
+            entries += facts[i]["entries"]
+            characters += facts[i]["characters"]
+            if entries <= INLINE_CATEGORIES and characters <= INLINE_CHARACTERS:
+                inline.append(i)
         labels: list[list[str]] = [[] for _ in names]
-        best: list[tuple] = [(0, "")] * len(names)
-        for r in seen:
+        for r in counts.filter(F.col("i").isin(inline)).collect() if inline else ():
             labels[r["i"]].append(r["value"])
-            if (-r["n"], r["value"]) < best[r["i"]]:
-                best[r["i"]] = (-r["n"], r["value"])
         texts = [f"{o}_text" for o in outputs]
-        codes = [f"{o}_code" for o in outputs]
+        stored = [i for i in facts if i not in inline]
+        # Spark ML names the encoder's outputs by their values and wants no empty names.
+        mark = ["" if i in stored else "=" for i in range(len(names))]
         fill = _add_columns([
-            f"coalesce(CAST({quoted(n)} AS STRING), {_text(best[i][1])}) AS {quoted(texts[i])}"
+            f"concat('{mark[i]}', coalesce(CAST({quoted(n)} AS STRING), "
+            f"{_text(facts[i]['top']['value'] if i in facts else '')})) AS {quoted(texts[i])}"
             for i, n in enumerate(names)
         ])
-        # One indexer per column: label lists of unequal length cannot share one.
-        index = PipelineModel(stages=[
-            StringIndexerModel.from_labels(
-                sorted(own) or [""], inputCol=text, outputCol=code, handleInvalid="keep")
-            for own, text, code in zip(labels, texts, codes)
-        ])
-        # The encoder reads its sizes from column metadata, no pass over data is needed.
-        one_hot = OneHotEncoder(
-            inputCols=codes, outputCols=outputs, dropLast=True
-        )
-        sample = index.transform(fill.transform(dataset.limit(0)))
-        return PipelineModel(stages=[fill, index, one_hot.fit(sample)])
+        stages: list = [fill]
+        codes = {i: f"{outputs[i]}_code" for i in range(len(names)) if i not in stored}
+        if codes:
+            # One indexer per column: label lists of unequal length cannot share one.
+            index = PipelineModel(stages=[
+                StringIndexerModel.from_labels(
+                    [f"={v}" for v in sorted(labels[i]) or [""]], inputCol=texts[i], outputCol=code, handleInvalid="keep")
+                for i, code in codes.items()
+            ])
+            # The encoder reads its sizes from column metadata, no pass over data is needed.
+            one_hot = OneHotEncoder(
+                inputCols=list(codes.values()), outputCols=[outputs[i] for i in codes], dropLast=True)
+            sample = index.transform(fill.transform(dataset.limit(0)))
+            stages += [index, one_hot.fit(sample)]
+        for i in stored:
+            size = facts[i]["entries"]
+            path = store_dictionary(counts.filter(F.col("i") == i).select("value", "n"), size,
+                                    facts[i]["rows"])
+            stages += [
+                StoredOneHot(inputCol=texts[i], outputCol=outputs[i], size=size, path=path),
+                VectorSizeHint(inputCol=outputs[i], size=size, handleInvalid="optimistic")]
+        return PipelineModel(stages=stages)
 
 
 def prep_stages(

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import col, text_array
+from ..operators.dictionary import look_up
 from ..operators.profile import class_distribution
 from ..operators.validate import reconcile_features
 
@@ -44,7 +45,16 @@ def score(df: DataFrame, model: PipelineModel, meta: Mapping) -> DataFrame:
     features = reconcile_features(df, meta)
     scored = model.transform(features)
     columns = [col(c) for c in features.columns]
-    columns.append(predicted_value(meta, F.col("prediction")).alias("prediction"))
+    if isinstance(meta.get("labels"), Mapping):
+        # Labels in a table of their own.
+        table = df.sparkSession.read.parquet(meta["labels"]["path"])
+        scored = look_up(scored.withColumn("ts_class", F.col("prediction").cast("bigint")),
+                         "ts_class", table, "ts_class_label", "code", "label")
+        kind = meta.get("target_type", "string")
+        value = F.col("ts_class_label")
+        columns.append((value if kind == "string" else value.cast(kind)).alias("prediction"))
+    else:
+        columns.append(predicted_value(meta, F.col("prediction")).alias("prediction"))
     if meta["task_type"] == "classification":
         probability = _probability(scored)
         if probability is not None:

@@ -12,20 +12,24 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.names import gate
 from ..functions.scalars import col
 from ..operators import metrics
-from ..operators.columnstats import bounded_collect
+from ..operators.dictionary import look_up, store_dictionary
 from ..operators.learners import make_learner
 from ..operators.prepare import drop_identifiers
 from ..operators.preprocess import LABEL, prep_stages
 from ..operators.profile import target_counts, type_class
 from ..operators.split import mark_holdout
 from ..operators.validate import drop_null_target, label_text, require_rows
-from ..session import hold_for_iteration
+from ..session import hold_for_iteration, materialise
 from ..sources.artifacts import save_model
 from .recommend import recommend
 from .selector import Selector
 
-# Labels are part of the model and kept on the driver.
-MAX_CLASSES = 100_000
+# Labels of up to this many classes are part of the model, more are a table beside it.
+INLINE_CLASSES = 10_000
+INLINE_CHARACTERS = 16_000_000
+
+#: Labels in order, or where their table is (path, size).
+Labels = list[str] | dict
 
 
 @dataclass
@@ -37,23 +41,32 @@ class Trained:
         save_model(self.model, self.meta, path)
 
 
-def class_labels(df: DataFrame, target: str) -> list[str]:
-    """All labels as text, in the order of their original values."""
+def class_labels(df: DataFrame, target: str) -> Labels:
+    """All labels as text, in the order of their original values; of very many the stored table."""
     counts = target_counts(df, target).filter("value IS NOT NULL")
     text = label_text("value", counts.schema["value"].dataType)
-    rows = bounded_collect(
-        counts.select("value", text.alias("label")), "label", MAX_CLASSES,
-        f"target {target!r} has too many classes")
-    return [r["label"] for r in sorted(rows, key=lambda r: r["value"])]
+    named = materialise(counts.select("value", text.alias("label"), "n"))
+    n, characters, rows = named.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.length("label")), F.lit(0)), F.sum("n")).first()
+    if n <= INLINE_CLASSES and characters <= INLINE_CHARACTERS:
+        return [r["label"] for r in sorted(named.collect(), key=lambda r: r["value"])]
+    return {"path": store_dictionary(named, n, rows), "size": n}
 
 
-def with_label(df: DataFrame, target: str, task: str, labels: list[str] | None) -> DataFrame:
+def with_label(df: DataFrame, target: str, task: str, labels: Labels | None) -> DataFrame:
     """Adds the numeric label learners train on."""
     if task == "regression":
         return df.withColumn(LABEL, col(target).cast("double"))
-    index = StringIndexerModel.from_labels(labels, inputCol="ts_label_text", outputCol=LABEL)
     text = label_text(target, df.schema[target].dataType)
-    return index.transform(df.withColumn("ts_label_text", text)).drop("ts_label_text")
+    named = df.withColumn("ts_label_text", text)
+    if isinstance(labels, dict):
+        table = df.sparkSession.read.parquet(labels["path"])
+        coded = look_up(named, "ts_label_text", table, "ts_label_code", "label")
+        kind = {"ml_attr": {"type": "nominal", "num_vals": labels["size"], "name": LABEL}}
+        return coded.withColumn(LABEL, F.col("ts_label_code").cast("double").alias(
+            LABEL, metadata=kind)).drop("ts_label_text", "ts_label_code")
+    index = StringIndexerModel.from_labels(labels, inputCol="ts_label_text", outputCol=LABEL)
+    return index.transform(named).drop("ts_label_text")
 
 
 def build_pipeline(features: DataFrame, learner: str, task: str, params: Mapping | None = None,

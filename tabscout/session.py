@@ -89,13 +89,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers once, for clusters where the checkout is not installed.
+    """Send this package to the workers once: the checkout need not be installed there.
 
-    In local mode the workers share the driver's path and nothing is sent.
+    Neither need it be on the path of local workers, which do not see what the driver's program
+    puts on its own path.
     """
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local":
-        return
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.abspath(__file__))
