@@ -129,20 +129,21 @@ class CategoryPrep(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
             labels[r["i"]].append(r["value"])
         texts = [f"{o}_text" for o in outputs]
         stored = [i for i in facts if i not in inline]
+        filled = [
+            f"coalesce(CAST({quoted(n)} AS STRING), "
+            f"{_text(facts[i]['top']['value'] if i in facts else '')})" for i, n in enumerate(names)]
         # Spark ML names the encoder's outputs by their values and wants no empty names.
-        mark = ["" if i in stored else "=" for i in range(len(names))]
+        marks = {i: f"{outputs[i]}_mark" for i in range(len(names)) if i not in stored}
         fill = _add_columns([
-            f"concat('{mark[i]}', coalesce(CAST({quoted(n)} AS STRING), "
-            f"{_text(facts[i]['top']['value'] if i in facts else '')})) AS {quoted(texts[i])}"
-            for i, n in enumerate(names)
-        ])
+            *[f"{filled[i]} AS {quoted(t)}" for i, t in enumerate(texts)],
+            *[f"concat('=', {filled[i]}) AS {quoted(m)}" for i, m in marks.items()]])
         stages: list = [fill]
         codes = {i: f"{outputs[i]}_code" for i in range(len(names)) if i not in stored}
         if codes:
             # One indexer per column: label lists of unequal length cannot share one.
             index = PipelineModel(stages=[
                 StringIndexerModel.from_labels(
-                    [f"={v}" for v in sorted(labels[i]) or [""]], inputCol=texts[i], outputCol=code, handleInvalid="keep")
+                    [f"={v}" for v in sorted(labels[i]) or [""]], inputCol=marks[i], outputCol=code, handleInvalid="keep")
                 for i, code in codes.items()
             ])
             # The encoder reads its sizes from column metadata, no pass over data is needed.
