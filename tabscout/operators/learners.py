@@ -77,16 +77,18 @@ class Ridge(FitTimeLearner):
 
 
 class Neighbours(FitTimeLearner):
-    """k nearest neighbours, exact: votes for classes, the mean for numbers."""
+    """k nearest neighbours, exact or approximate: votes for classes, the mean for numbers."""
 
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     regression = Param(Params._dummy(), "regression", "average instead of vote",
                        TypeConverters.toBoolean)
+    method = Param(Params._dummy(), "method", "exact or approximate", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, featuresCol=FEATURES, labelCol=LABEL, k=5, regression=False):
+    def __init__(self, *, featuresCol=FEATURES, labelCol=LABEL, k=5, regression=False,
+                 method="exact"):
         super().__init__()
-        self._setDefault(featuresCol=FEATURES, labelCol=LABEL, k=5, regression=False)
+        self._setDefault(featuresCol=FEATURES, labelCol=LABEL, k=5, regression=False, method="exact")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "NeighboursModel":
@@ -100,7 +102,8 @@ class Neighbours(FitTimeLearner):
         rows.write.parquet(path)
         return NeighboursModel(
             featuresCol=self.getFeaturesCol(), k=self.getOrDefault(self.k),
-            regression=self.getOrDefault(self.regression), trainPath=path)
+            regression=self.getOrDefault(self.regression), trainPath=path,
+            method=self.getOrDefault(self.method))
 
 
 class NeighboursModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -111,11 +114,13 @@ class NeighboursModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParam
                        TypeConverters.toBoolean)
     trainPath = Param(Params._dummy(), "trainPath", "stored training rows",
                       TypeConverters.toString)
+    method = Param(Params._dummy(), "method", "exact or approximate", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, featuresCol=FEATURES, k=5, regression=False, trainPath=None):
+    def __init__(self, *, featuresCol=FEATURES, k=5, regression=False, trainPath=None,
+                 method="exact"):
         super().__init__()
-        self._setDefault(featuresCol=FEATURES, k=5, regression=False)
+        self._setDefault(featuresCol=FEATURES, k=5, regression=False, method="exact")
         self._set(**self._input_kwargs)
 
     def training_rows(self, spark) -> DataFrame:
@@ -129,7 +134,8 @@ class NeighboursModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParam
         query = numbered.select(
             "ts_row", vector_to_array(F.col(self.getFeaturesCol())).alias("vector"))
         found = neighbours(self.training_rows(dataset.sparkSession), query,
-                           self.getOrDefault(self.k), "key", "ts_row", "vector", "outcome")
+                           self.getOrDefault(self.k), "key", "ts_row", "vector", "outcome",
+                           self.getOrDefault(self.method))
         if self.getOrDefault(self.regression):
             answers = average(found)
         else:
@@ -151,7 +157,7 @@ CLASSIFIER_MAKERS: dict[str, _Make] = {
     "random forest": lambda numTrees=200, maxDepth=15, bootstrap=True, nodeFeatures="sqrt":
         HistogramForest(trees=numTrees, depth=maxDepth, bootstrap=bootstrap, nodeFeatures=nodeFeatures),
     "gradient boosting": lambda trees=100, depth=3: HistogramBooster(trees=trees, depth=depth),
-    "knn": lambda k=5: Neighbours(k=k),
+    "knn": lambda k=5, method="exact": Neighbours(k=k, method=method),
     "naive bayes": lambda: NaiveBayes(**_IO, modelType="gaussian"),
     "svm": lambda width=256, maxIter=100, probability=True: KernelClassifier(
         width=width, maxIter=maxIter, probability=probability),
@@ -165,7 +171,7 @@ REGRESSOR_MAKERS: dict[str, _Make] = {
     "random forest": lambda numTrees=200, maxDepth=15, bootstrap=True: HistogramForest(
         regression=True, trees=numTrees, depth=maxDepth, bootstrap=bootstrap, nodeFeatures="all"),
     "gradient boosting": lambda trees=100, depth=3: _boosted_regressor(trees, depth),
-    "knn": lambda k=5: Neighbours(k=k, regression=True),
+    "knn": lambda k=5, method="exact": Neighbours(k=k, regression=True, method=method),
     "svm": lambda width=256, maxIter=100: KernelRegressor(width=width, maxIter=maxIter),
 }
 
@@ -191,7 +197,7 @@ SUITE_MAKERS: dict[str, tuple[bool, _Make]] = {
         trees=1, depth=maxDepth, bootstrap=False, nodeFeatures="all")),
     "RandomForest": (False, lambda numTrees=200, maxDepth=0: HistogramForest(
         trees=numTrees, depth=maxDepth)),
-    "KNN": (True, lambda k=5: Neighbours(k=k)),
+    "KNN": (True, lambda k=5, method="exact": Neighbours(k=k, method=method)),
     "SVM": (True, lambda width=256, maxIter=100, probability=True: KernelClassifier(
         width=width, maxIter=maxIter, probability=probability)),
     "XGBoost": (False, lambda trees=200, depth=6, rowShare=0.8, columnShare=0.8: HistogramBooster(

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours as a pivot-partitioned join.
+"""Nearest neighbours, exact, as a pivot-partitioned join; approximate ones by hash tables.
 
 Training rows are grouped into cells around pivots, as in Lu et al., "Efficient
 Processing of k Nearest Neighbor Joins using MapReduce" (VLDB 2012). Each query
@@ -215,17 +215,31 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
 
 def neighbours(
     train: DataFrame, query: DataFrame, k: int, train_key: str, query_key: str,
-    vector: str, outcome: str,
+    vector: str, outcome: str, method: str = "exact", recall: float = 0.95,
 ) -> DataFrame:
     """The k nearest training rows of each query: key, rank, distance and outcome.
 
-    Ties in distance go to the smaller training key; rows that share a key should be alike.
+    Ties in distance go to the smaller training key; rows that share a key should be alike. With
+    ``method="approximate"`` rows are compared by hash tables that find a neighbour with about
+    the probability ``recall``: in many dimensions, where the triangle inequality rules out little,
+    the exact search compares nearly all pairs.
     """
+    if method not in ("exact", "approximate"):
+        raise ValueError(f"unknown method {method!r}")
     train = train.select(
         F.col(train_key).alias("key"), F.col(vector).cast("array<double>").alias("vector"),
         F.col(outcome).alias("outcome"))
     query = query.select(
         F.col(query_key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    if method == "exact":
+        return exact_neighbours(train, query, k)
+    from .hashed_neighbors import approximate_neighbours
+
+    return approximate_neighbours(train, query, k, recall)
+
+
+def exact_neighbours(train: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows (key, vector, outcome) of each query (key, vector)."""
     ship_package(train.sparkSession)
     rows = train.count()
     if rows < k:

@@ -103,6 +103,18 @@ def f11_neighbour_rows(spark, d):
     return rounded(found.withColumnRenamed("query_key", "vec_id"), 5)
 
 
+def f11_approximate(spark, d):
+    """Share of the true neighbours that the hash tables find, over all queries."""
+    train, test = _embedding_parts(spark, d)
+    args = (train, test, 5, "vec_id", "vec_id", "embedding", "label")
+    near = ["query_key", "train_key"]
+    true, found = neighbours(*args).select(*near), neighbours(*args, method="approximate").select(*near)
+    both = true.join(found, near, "left_semi").agg(F.count(F.lit(1)).alias("met"))
+    whole = found.agg(F.count(F.lit(1)).alias("n_found"))
+    return whole.join(both).select(
+        "n_found", (F.col("met") >= 0.9 * F.col("n_found")).alias("recall_holds"))
+
+
 def f12_neighbours_mean(spark, d):
     train, test = _embedding_parts(spark, d)
     found = neighbours(train, test, 5, "vec_id", "vec_id", "embedding", "label")
@@ -442,6 +454,8 @@ QUERIES = {
     "f11_neighbour_rows": (f11_neighbour_rows, _NEAREST + """
         SELECT vec_id, train_key, round(distance, 5) AS distance, outcome,
           CAST(rank AS INTEGER) AS rank FROM near"""),
+    "f11_approximate": (f11_approximate, _NEAREST + """
+        SELECT count(*) AS n_found, true AS recall_holds FROM near"""),
     "f11_knn_holdout": (holdout_metrics("K-Nearest Neighbors", "classification"), None),
     "f12_neighbour_mean": (f12_neighbours_mean, _NEAREST + """
         SELECT vec_id, round(avg(outcome), 6) AS prediction FROM near GROUP BY vec_id"""),
