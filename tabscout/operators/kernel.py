@@ -1,59 +1,94 @@
-"""Radial-basis kernel machines by random Fourier features.
+"""Radial-basis kernel machines on landmarks.
 
-Rahimi and Recht, "Random Features for Large-Scale Kernel Machines" (2007): the
-kernel is approximated by an explicit feature map, on which Spark's linear
-learners train. Predictions approximate those of an exact kernel machine.
+Williams and Seeger, "Using the Nystroem Method to Speed Up Kernel Machines" (2001): the kernel
+between all rows is approximated through its values at some landmark rows. With as many
+landmarks as different rows it is exact; the error falls as landmarks are added.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
-from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import (
     HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasSeed, Param, Params, TypeConverters,
 )
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLWritable
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import constants as K
+from ..session import materialise, ship_package
+from .arrays import ArrayReader, ArrayWriter
+from .bins import cells, in_batches, plain
 from .preprocess import FEATURES, LABEL
 
+#: Cells of a dense piece of rows.
+_PIECE_CELLS = 1 << 22
 
-class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable,
-                      DefaultParamsWritable):
-    """Maps a vector to cosines whose inner products approximate the kernel."""
 
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    width = Param(Params._dummy(), "width", "number of features", TypeConverters.toInt)
+class Landmarks:
+    """Landmark rows over the features that any of them has, and the kernel's width."""
 
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, gamma=1.0, width=256, seed=K.SEED):
-        super().__init__()
-        self._setDefault(gamma=1.0, width=256, seed=K.SEED)
-        self._set(**self._input_kwargs)
+    def __init__(self, features: np.ndarray, rows: np.ndarray, gamma: float):
+        self.features, self.rows, self.gamma = features, rows, gamma
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        gamma, width = self.getOrDefault(self.gamma), self.getOrDefault(self.width)
-        seed = self.getSeed()
+    @classmethod
+    def of(cls, vectors: pa.Array, gamma: float) -> "Landmarks":
+        row, feature, value = cells(vectors)
+        use = value != 0
+        features, column = np.unique(feature[use], return_inverse=True)
+        rows = np.zeros((len(vectors), len(features)))
+        rows[row[use], column] = value[use]
+        return cls(features, np.unique(rows, axis=0), gamma)
+
+    def kernel(self, vectors: pa.Array) -> np.ndarray:
+        """exp(-gamma |x - landmark|^2) of each row and landmark; vectors stay sparse until a piece
+        of rows is compared."""
+        row, feature, value = cells(vectors)
+        n, width = len(vectors), len(self.features)
+        squares = np.bincount(row, value * value, n)
+        place = np.minimum(np.searchsorted(self.features, feature), max(0, width - 1))
+        known = self.features[place] == feature if width else np.zeros(len(feature), bool)
+        row, place, value = row[known], place[known], value[known]
+        products = np.empty((n, len(self.rows)))
+        step = max(1, _PIECE_CELLS // max(1, width))
+        for low in range(0, n, step):
+            high = min(n, low + step)
+            here = slice(*np.searchsorted(row, (low, high)))
+            dense = np.zeros((high - low, width))
+            dense[row[here] - low, place[here]] = value[here]
+            products[low:high] = dense @ self.rows.T
+        apart = squares[:, None] + (self.rows * self.rows).sum(1) - 2 * products
+        return np.exp(-self.gamma * np.maximum(apart, 0.0))
+
+    def projection(self) -> np.ndarray:
+        """Turns kernel values into features whose inner products are the kernel."""
+        own = np.exp(-self.gamma * np.maximum(
+            ((self.rows[:, None, :] - self.rows[None, :, :]) ** 2).sum(2), 0)) if (
+            self.rows.size * len(self.rows) <= _PIECE_CELLS) else self._own()
+        values, axes = np.linalg.eigh(own)
+        kept = values > 1e-10 * values.max(initial=0)
+        return axes[:, kept] / np.sqrt(values[kept])
+
+    def _own(self) -> np.ndarray:
+        squares = (self.rows * self.rows).sum(1)
+        apart = squares[:, None] + squares - 2 * self.rows @ self.rows.T
+        return np.exp(-self.gamma * np.maximum(apart, 0.0))
 
-        @F.pandas_udf("array<double>")
-        def project(cells: pd.Series) -> pd.Series:
-            if not len(cells):
-                return cells
-            x = np.stack(cells.to_numpy())
-            random = np.random.default_rng(seed)
-            weights = random.normal(scale=np.sqrt(2.0 * gamma), size=(x.shape[1], width))
-            phase = random.uniform(0.0, 2.0 * np.pi, size=width)
-            return pd.Series(list(np.sqrt(2.0 / width) * np.cos(x @ weights + phase)))
 
-        cells = vector_to_array(F.col(self.getInputCol()))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(project(cells)))
+def pick_landmarks(dataset: DataFrame, features: str, n: int, gamma: float) -> Landmarks:
+    """The ``n`` rows of least hash, at most one of equal rows."""
+    rows = dataset.select(plain(features).alias("vector")).withColumn("hash", F.xxhash64("vector"))
+    chosen = rows.dropDuplicates(["hash"]).orderBy("hash").limit(n).select("vector").toArrow()
+    return Landmarks.of(chosen.column("vector").combine_chunks(), gamma)
 
 
 def _gamma(dataset: DataFrame, features: str) -> tuple[float, int]:
@@ -67,69 +102,296 @@ def _gamma(dataset: DataFrame, features: str) -> tuple[float, int]:
     return (1.0 / (len(mean) * overall) if overall > 0 else 1.0), n
 
 
-class KernelClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParamsReadable,
-                       DefaultParamsWritable):
-    """Kernel support vector classifier, penalty 1, with probabilities fitted on its margins."""
+class LandmarkFeatures(Transformer, HasInputCol, HasOutputCol, MLWritable, MLReadable):
+    """Maps a vector to features whose inner products approximate the kernel."""
+
+    def __init__(self, landmarks: Landmarks | None = None, projection: np.ndarray | None = None):
+        super().__init__()
+        self.landmarks, self.projection = landmarks, projection
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        ship_package(dataset.sparkSession)
+        sent = dataset.sparkSession.sparkContext.broadcast((self.landmarks, self.projection))
+
+        def project(vectors):
+            landmarks, projection = sent.value
+            found = landmarks.kernel(vectors) @ projection
+            n, width = found.shape
+            none = pa.array([None] * n, pa.int32())
+            return pa.StructArray.from_arrays([
+                pa.array(np.ones(n, np.int8)), none, pa.array([None] * n, pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()),
+                                         pa.array(found.ravel()))],
+                ["type", "size", "indices", "values"])
+
+        return dataset.withColumn(
+            self.getOutputCol(), arrow_udf(project, VectorUDT())(plain(self.getInputCol())))
 
-    width = Param(Params._dummy(), "width", "number of features", TypeConverters.toInt)
+    def state(self):
+        mine = self.landmarks
+        return {"features": mine.features, "rows": mine.rows, "projection": self.projection}, {
+            "gamma": mine.gamma}
+
+    @classmethod
+    def of_state(cls, arrays, facts):
+        return cls(Landmarks(arrays["features"], arrays["rows"], facts["gamma"]), arrays["projection"])
+
+    def write(self):
+        return ArrayWriter(self)
+
+    @classmethod
+    def read(cls):
+        return ArrayReader(cls)
+
+
+class _KernelEstimator(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParamsReadable,
+                       DefaultParamsWritable):
+    width = Param(Params._dummy(), "width", "number of landmarks", TypeConverters.toInt)
     maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
+
+    def _features(self, dataset: DataFrame) -> tuple[LandmarkFeatures, int]:
+        gamma, n = _gamma(dataset, self.getFeaturesCol())
+        marks = pick_landmarks(dataset, self.getFeaturesCol(), self.getOrDefault(self.width), gamma)
+        mapped = LandmarkFeatures(marks, marks.projection())
+        return mapped._set(inputCol=self.getFeaturesCol(), outputCol="ts_kernel"), n
+
+
+class KernelClassifier(_KernelEstimator):
+    """Kernel support vector classifier, penalty 1.
+
+    Probabilities are fitted (Platt) on margins of rows that the machine giving the margin was not trained
+    on: rows are dealt to ``folds`` by their hash, and each fold is scored by a machine of the others.
+    """
+
     probability = Param(Params._dummy(), "probability", "fit probabilities",
                         TypeConverters.toBoolean)
+    folds = Param(Params._dummy(), "folds", "parts for held-out margins", TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, featuresCol=FEATURES, labelCol=LABEL, width=256, maxIter=100,
-                 probability=True, seed=K.SEED):
+                 probability=True, folds=3, seed=K.SEED):
         super().__init__()
         self._setDefault(featuresCol=FEATURES, labelCol=LABEL, width=256, maxIter=100,
-                         probability=True, seed=K.SEED)
+                         probability=True, folds=3, seed=K.SEED)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        gamma, n = _gamma(dataset, self.getFeaturesCol())
-        mapped = FourierFeatures(
-            inputCol=self.getFeaturesCol(), outputCol="ts_fourier", gamma=gamma,
-            width=self.getOrDefault(self.width), seed=self.getSeed())
-        label = self.getLabelCol()
-        machine = LinearSVC(
-            featuresCol="ts_fourier", labelCol=label, maxIter=self.getOrDefault(self.maxIter),
-            regParam=1.0 / n, standardization=False)
+        mapped, n = self._features(dataset)
+        label, folds = self.getLabelCol(), self.getOrDefault(self.folds)
         classes = dataset.select(F.max(label)).first()[0]
-        if classes is not None and classes >= 2:
-            machine = OneVsRest(classifier=machine, featuresCol="ts_fourier", labelCol=label)
-        projected = mapped.transform(dataset.select(self.getFeaturesCol(), label)).persist()
+
+        def fit(rows: DataFrame, count: int) -> Model:
+            machine = LinearSVC(
+                featuresCol="ts_kernel", labelCol=label, maxIter=self.getOrDefault(self.maxIter),
+                regParam=1.0 / count, standardization=False)
+            if classes is not None and classes >= 2:
+                machine = OneVsRest(classifier=machine, featuresCol="ts_kernel", labelCol=label)
+            return machine.fit(rows)
+
+        fold = F.pmod(F.xxhash64(plain(self.getFeaturesCol()), F.lit(self.getSeed())), F.lit(folds))
+        projected = mapped.transform(
+            dataset.select(self.getFeaturesCol(), label).withColumn("ts_fold", fold)).persist()
         try:
-            fitted = machine.fit(projected)
+            fitted = fit(projected, n)
             stages = [mapped, fitted]
             if self.getOrDefault(self.probability):
                 platt = LogisticRegression(
                     featuresCol="rawPrediction", labelCol=label, predictionCol="ts_platt",
                     rawPredictionCol="ts_platt_raw", probabilityCol="probability")
-                stages.append(platt.fit(fitted.transform(projected)))
+                stages.append(platt.fit(self._held_out(projected, fit, fitted, label, folds)))
         finally:
             projected.unpersist()
         return PipelineModel(stages=stages)
 
+    def _held_out(self, projected: DataFrame, fit: Callable, fitted: Model, label: str,
+                  folds: int) -> DataFrame:
+        """Margins of every row by a machine that has not seen it.
 
-class KernelRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParamsReadable,
-                      DefaultParamsWritable):
-    """Kernel regression with a loss that is linear in large errors."""
+        A table whose classes are not all in the rest of each fold is too small for that and takes
+        the margins of the machine itself.
+        """
+        counts: dict[int, dict] = {}
+        for r in projected.groupBy("ts_fold", label).count().collect():
+            counts.setdefault(r["ts_fold"], {})[r[label]] = r["count"]
+        everyone = {c for own in counts.values() for c in own}
+        rest = {f: {c for g, own in counts.items() if g != f for c in own} for f in counts}
+        if len(everyone) < 2 or any(r != everyone for r in rest.values()):
+            return fitted.transform(projected)
+        size = {f: sum(sum(own.values()) for g, own in counts.items() if g != f) for f in counts}
+        parts = []
+        for f in sorted(counts):
+            machine = fit(projected.filter(F.col("ts_fold") != f), size[f])
+            parts.append(machine.transform(projected.filter(F.col("ts_fold") == f)).select(
+                "rawPrediction", label))
+        return reduce(DataFrame.union, parts)
 
-    width = Param(Params._dummy(), "width", "number of features", TypeConverters.toInt)
-    maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
+
+def tube_loss(residual: np.ndarray, epsilon: float, soft: float) -> tuple[np.ndarray, np.ndarray]:
+    """What lies outside a tube around the line, rounded off over ``soft``; and its slope."""
+    out = np.maximum(np.abs(residual) - epsilon, 0.0)
+    loss = np.where(out < soft, out * out / (2 * soft), out - soft / 2)
+    return loss, np.sign(residual) * np.minimum(out / soft, 1.0)
+
+
+def minimise(evaluate: Callable[[np.ndarray], list[tuple[float, np.ndarray]]], start: np.ndarray,
+             iterations: int, memory: int = 10) -> np.ndarray:
+    """L-BFGS whose step sizes are tried together: ``evaluate`` takes several points in one pass."""
+    steps = 3.0 ** -np.arange(10)
+    point = start
+    value, slope = evaluate(point[None])[0]
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(iterations):
+        direction, kept = -slope, []
+        for s, y in reversed(past):
+            a = s @ direction / (y @ s)
+            kept.append(a)
+            direction = direction - a * y
+        if past:
+            s, y = past[-1]
+            direction = direction * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(kept)):
+            direction = direction + s * (a - (y @ direction) / (y @ s))
+        descent = slope @ direction
+        if not descent < -1e-12 * max(1.0, abs(value)):
+            break
+        scale = 1.0 if past else 1.0 / max(1.0, np.linalg.norm(slope))
+        tried = evaluate(point[None] + (scale * steps)[:, None] * direction[None])
+        good = [i for i, (v, _) in enumerate(tried) if v <= value + 1e-4 * scale * steps[i] * descent]
+        if not good:
+            if not past:
+                break
+            past = []
+            continue
+        i = min(good, key=lambda i: tried[i][0])
+        moved = scale * steps[i] * direction
+        change = tried[i][1] - slope
+        if moved @ change > 1e-12 * (change @ change):
+            past = [*past, (moved, change)][-memory:]
+        gained = value - tried[i][0]
+        point, (value, slope) = point + moved, tried[i]
+        if gained <= 1e-9 * max(1.0, abs(value)):
+            break
+    return point
+
+
+class KernelRegressor(_KernelEstimator):
+    """Kernel support vector regression: errors up to ``epsilon`` are free, larger ones count linearly,
+    with penalty 1 on the squared weights.
+
+    The corner of the loss is rounded off over a thousandth of the labels' deviation. Every iteration
+    is one pass over the projected rows, in which tasks add up loss and slope for several step sizes.
+    """
+
+    epsilon = Param(Params._dummy(), "epsilon", "half width of the tube", TypeConverters.toFloat)
+    cost = Param(Params._dummy(), "cost", "weight of the errors", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, featuresCol=FEATURES, labelCol=LABEL, width=256, maxIter=100,
-                 seed=K.SEED):
+    def __init__(self, *, featuresCol=FEATURES, labelCol=LABEL, width=256, maxIter=100, epsilon=0.1,
+                 cost=1.0, seed=K.SEED):
         super().__init__()
-        self._setDefault(featuresCol=FEATURES, labelCol=LABEL, width=256, maxIter=100, seed=K.SEED)
+        self._setDefault(featuresCol=FEATURES, labelCol=LABEL, width=256, maxIter=100, epsilon=0.1,
+                         cost=1.0, seed=K.SEED)
         self._set(**self._input_kwargs)
 
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        gamma, n = _gamma(dataset, self.getFeaturesCol())
-        mapped = FourierFeatures(
-            inputCol=self.getFeaturesCol(), outputCol="ts_fourier", gamma=gamma,
-            width=self.getOrDefault(self.width), seed=self.getSeed())
-        line = LinearRegression(
-            featuresCol="ts_fourier", labelCol=self.getLabelCol(), loss="huber",
-            regParam=1.0 / n, standardization=False, maxIter=self.getOrDefault(self.maxIter))
-        return PipelineModel(stages=[mapped, line.fit(mapped.transform(dataset))])
+    def _fit(self, dataset: DataFrame) -> "KernelRegressorModel":
+        mapped, n = self._features(dataset)
+        label = F.col(self.getLabelCol()).cast("double")
+        low, high, spread = dataset.agg(
+            F.min(label), F.max(label), F.stddev_pop(label)).first()
+        rows = materialise(dataset.select(
+            plain(self.getFeaturesCol()).alias("vector"), label.alias("label")).filter(
+            "label IS NOT NULL"))
+        context = dataset.sparkSession.sparkContext
+        sent = context.broadcast((mapped.landmarks, mapped.projection))
+        epsilon, cost = self.getOrDefault(self.epsilon), self.getOrDefault(self.cost)
+        soft = max(1e-3 * (spread or 0.0), 1e-6)
+        centre = ((low or 0.0) + (high or 0.0)) / 2
+
+        def project(batches):
+            landmarks, projection = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    found = landmarks.kernel(batch.column("vector")) @ projection
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([r.tobytes() for r in found], pa.binary()), batch.column("label")],
+                        names=["row", "label"])
+
+        projected = materialise(in_batches(rows, project, "row binary, label double"))
+        size = mapped.projection.shape[1]
+
+        def evaluate(points: np.ndarray, soft: float) -> list[tuple[float, np.ndarray]]:
+            def work(batches):
+                losses, slopes = np.zeros(len(points)), np.zeros((len(points), size + 1))
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    x = np.frombuffer(b"".join(batch.column("row").to_pylist())).reshape(-1, size)
+                    y = np.array(batch.column("label")) - centre
+                    for i, p in enumerate(points):
+                        loss, slope = tube_loss(x @ p[:-1] + p[-1] - y, epsilon, soft)
+                        losses[i] += loss.sum()
+                        slopes[i, :-1] += slope @ x
+                        slopes[i, -1] += slope.sum()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([losses.tobytes()]), pa.array([slopes.tobytes()])],
+                    names=["losses", "slopes"])
+
+            # One row a task, each as large as the weights.
+            parts = in_batches(projected, work, "losses binary, slopes binary").collect()
+            losses = sum((np.frombuffer(r["losses"]) for r in parts), np.zeros(len(points)))
+            slopes = sum((np.frombuffer(r["slopes"]).reshape(len(points), -1) for r in parts),
+                         np.zeros((len(points), size + 1)))
+            out = []
+            for p, loss, slope in zip(points, losses, slopes):
+                pull = np.append(p[:-1], 0.0)
+                out.append((0.5 * pull @ pull + cost * loss, pull + cost * slope))
+            return out
+
+        # From a widely rounded corner to a sharp one, each from where the last one ended.
+        weights, stages = np.zeros(size + 1), 4
+        for i in range(stages):
+            wide = soft * 10.0 ** (stages - 1 - i)
+            weights = minimise(lambda points: evaluate(points, wide), weights,
+                               max(1, self.getOrDefault(self.maxIter) // stages))
+        model = KernelRegressorModel(mapped.landmarks, mapped.projection @ weights[:-1],
+                                     float(weights[-1] + centre))
+        return model._set(featuresCol=self.getFeaturesCol())
+
+
+class KernelRegressorModel(Model, HasFeaturesCol, MLWritable, MLReadable):
+    """A weight per landmark and a constant; adds ``prediction``."""
+
+    def __init__(self, landmarks: Landmarks | None = None, weights: np.ndarray | None = None,
+                 constant: float = 0.0):
+        super().__init__()
+        self._setDefault(featuresCol=FEATURES)
+        self.landmarks, self.weights, self.constant = landmarks, weights, constant
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        ship_package(dataset.sparkSession)
+        sent = dataset.sparkSession.sparkContext.broadcast(
+            (self.landmarks, self.weights, self.constant))
+
+        def predict(vectors):
+            landmarks, weights, constant = sent.value
+            return pa.array(landmarks.kernel(vectors) @ weights + constant)
+
+        return dataset.withColumn(
+            "prediction", arrow_udf(predict, "double")(plain(self.getFeaturesCol())))
+
+    def state(self):
+        mine = self.landmarks
+        return {"features": mine.features, "rows": mine.rows, "weights": self.weights}, {
+            "gamma": mine.gamma, "constant": self.constant}
+
+    @classmethod
+    def of_state(cls, arrays, facts):
+        return cls(Landmarks(arrays["features"], arrays["rows"], facts["gamma"]), arrays["weights"],
+                   facts["constant"])
+
+    def write(self):
+        return ArrayWriter(self)
+
+    @classmethod
+    def read(cls):
+        return ArrayReader(cls)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -11,15 +10,13 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, Param, Params, TypeConverters
-from pyspark.ml.util import (
-    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
-    MLReadable, MLReader, MLWritable, MLWriter,
-)
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLWritable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import constants as K
 from ..session import materialise, ship_package
+from .arrays import ArrayReader, ArrayWriter
 from .bins import Bins, Block, fit_bins, in_batches, lists_of, placed, plain
 from .preprocess import FEATURES, LABEL
 from .treegrow import Rules, Shape, Tree, grow, mixed
@@ -115,12 +112,26 @@ class TreeModel(Model, HasFeaturesCol, MLWritable, MLReadable):
             "prediction": F.col("ts_answer.p"),
             "probability": array_to_vector(F.col("ts_answer.s"))}).drop("ts_answer")
 
+    def state(self):
+        arrays = {"cuts": self.bins.cuts, "first": self.bins.first}
+        for i, (shape, values) in enumerate(self.trees):
+            arrays |= {f"{i}/{n}": getattr(shape, n) for n in ("feature", "bin", "left", "right")}
+            arrays[f"{i}/value"] = values
+        return arrays, {**self.facts, "trees": len(self.trees)}
+
+    @classmethod
+    def of_state(cls, arrays, facts):
+        trees = [(Shape(*(arrays[f"{i}/{n}"] for n in ("feature", "bin", "left", "right"))),
+                  arrays[f"{i}/value"]) for i in range(facts["trees"])]
+        return cls(Bins(arrays["cuts"], arrays["first"]), trees,
+                   **{k: v for k, v in facts.items() if k != "trees"})
+
     def write(self):
-        return _Writer(self)
+        return ArrayWriter(self)
 
     @classmethod
     def read(cls):
-        return _Reader(cls)
+        return ArrayReader(cls)
 
 
 def probabilities(margins: np.ndarray) -> np.ndarray:
@@ -143,44 +154,6 @@ def add_trees(sums: np.ndarray, block: Block, trees) -> np.ndarray:
     return sums
 
 
-class _Writer(MLWriter):
-    def __init__(self, instance: TreeModel):
-        super().__init__()
-        self.instance = instance
-
-    def saveImpl(self, path: str) -> None:
-        model = self.instance
-        spark = self.sparkSession
-        DefaultParamsWriter.saveMetadata(
-            model, path, spark, {"facts": model.facts, "trees": len(model.trees)})
-        arrays = {"cuts": model.bins.cuts, "first": model.bins.first}
-        for i, (shape, values) in enumerate(model.trees):
-            arrays |= {f"{i}/{n}": getattr(shape, n) for n in ("feature", "bin", "left", "right")}
-            arrays[f"{i}/value"] = values
-        rows = [(name, str(a.dtype), json.dumps(a.shape), a.tobytes()) for name, a in arrays.items()]
-        parts = max(1, sum(len(r[3]) for r in rows) >> 25)
-        spark.createDataFrame(rows, "name string, kind string, shape string, data binary").repartition(
-            parts).write.parquet(f"{path}/arrays")
-
-
-class _Reader(MLReader):
-    def __init__(self, cls):
-        super().__init__()
-        self.cls = cls
-
-    def load(self, path: str) -> TreeModel:
-        spark = self.sparkSession
-        metadata = DefaultParamsReader.loadMetadata(path, spark)
-        arrays = {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(json.loads(r["shape"]))
-                  for r in spark.read.parquet(f"{path}/arrays").collect()}
-        trees = [(Shape(*(arrays[f"{i}/{n}"] for n in ("feature", "bin", "left", "right"))),
-                  arrays[f"{i}/value"]) for i in range(metadata["trees"])]
-        model = self.cls(Bins(arrays["cuts"], arrays["first"]), trees, **metadata["facts"])
-        model._resetUid(metadata["uid"])
-        DefaultParamsReader.getAndSetParams(model, metadata)
-        return model
-
-
 class _TreeEstimator(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable,
                      DefaultParamsWritable):
     """What boosting and forests share: reading rows, binning them, exact labels."""
