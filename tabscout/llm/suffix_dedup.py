@@ -26,6 +26,10 @@ from .words import _BASE, _BYTES, _powers, mixed
 GRAM = 32
 #: Bytes that are looked at together.
 SLICE = 1 << 20
+#: Contexts around one anchor that a task sorts and merges; of more, windows are grouped by digest.
+MANY_CONTEXTS = 4096
+#: Open suffixes of a bucket, about.
+BUCKET_SUFFIXES = 50_000
 _FIRST = -(1 << 63)
 
 
@@ -116,8 +120,8 @@ _BLOB = "bucket int, checks binary, runs binary, marks binary, docs binary, rows
 
 
 def _anchor_marks(docs: DataFrame, length: int) -> DataFrame:
-    """(row, mark): runs whose windows all occur earlier (flag 0), and the first run of each
-    kind that shares its anchor with another kind (flag 1)."""
+    """(row, mark, anchor): runs whose windows all occur earlier (flag 0), and the first run of each
+    kind that shares its anchor with another kind (flag 1), with part of its anchor's hash."""
     buckets = parallelism(docs.sparkSession)
 
     def deal(batches):
@@ -157,6 +161,7 @@ def _anchor_marks(docs: DataFrame, length: int) -> DataFrame:
         read = lambda name, kind, done: np.frombuffer(b"".join(
             x for x, s in zip(table.column(name).to_pylist(), settled, strict=True) if s == done), kind)
         rows, marks = [read("rows", np.int64, True)], [read("marks", np.int64, True)]
+        anchors = [np.zeros(len(rows[0]), np.int64)]
         checks, runs = read("checks", np.uint32, False), read("runs", np.uint64, False)
         mark, doc = read("marks", np.int64, False), read("docs", np.int64, False)
         row = read("rows", np.int64, False)
@@ -172,14 +177,17 @@ def _anchor_marks(docs: DataFrame, length: int) -> DataFrame:
             later = ~kind & ~same
             rows.append(row[later])
             marks.append(mark[later])
+            anchors.append(np.zeros(np.count_nonzero(later), np.int64))
             open_ = kind & mixed_group[group]
             rows.append(row[open_])
             marks.append(mark[open_] | 1)
+            anchors.append(checks[open_].astype(np.int64))
         return pa.table({"row": pa.array(np.concatenate(rows), pa.int64()),
-                         "mark": pa.array(np.concatenate(marks), pa.int64())})
+                         "mark": pa.array(np.concatenate(marks), pa.int64()),
+                         "anchor": pa.array(np.concatenate(anchors), pa.int64())})
 
     return in_batches(docs, deal, _BLOB).groupBy("bucket").applyInArrow(
-        merge, "row bigint, mark bigint")
+        merge, "row bigint, mark bigint, anchor bigint")
 
 
 def front_coded(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -341,6 +349,47 @@ def _merge_bucket(length):
     return merge
 
 
+def _hot_marks(rows: DataFrame, marked: DataFrame, length: int) -> DataFrame:
+    """(row, mark) of the windows of very frequent anchors that another one has earlier.
+
+    A window is known by a 128-bit digest. Of equal ones in a batch only the earliest leaves it; the
+    earliest of all is a grouped minimum, which Spark folds before the shuffle, so no task holds
+    an anchor's contexts. The windows are joined with it by digest, where adaptive execution
+    splits what one digest gathers: one row for a batch.
+    """
+    def work(batches):
+        for batch in slices(batches, "text", SLICE):
+            earliest: dict[bytes, tuple] = {}
+            windows = []
+            for doc, row, text, marks in zip(*(batch.column(c).to_pylist() for c in (
+                    "doc_id", "row", "text", "marks")), strict=True):
+                data, doc = (text or "").encode(), _FIRST if doc is None else doc
+                for mark in marks:
+                    first, last, _, _ = _unpacked(mark)
+                    for start in range(first, last + 1):
+                        key = hashlib.blake2b(data[start:start + length], digest_size=16).digest()
+                        place = (doc, row, start)
+                        windows.append((key, place))
+                        if key not in earliest or place < earliest[key]:
+                            earliest[key] = place
+            keys = [k if earliest[k] == p else None for k, p in windows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), *(pa.array([p[i] for _, p in windows], pa.int64())
+                                                for i in range(3))],
+                names=["digest", "doc", "row", "start"])
+
+    named = rows.join(marked, "row").dropDuplicates(["row"]).select("doc_id", "row", "text", "marks")
+    windows = materialise(in_batches(
+        named, work, "digest binary, doc bigint, row bigint, start bigint"))
+    place = F.struct("doc", "row", "start")
+    left = windows.where("digest IS NOT NULL")
+    first = left.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(
+        "n > 1").select("digest", "first")
+    later = left.join(first, "digest").where(place > F.col("first"))
+    mark = F.shiftleft("start", 17).alias("mark")
+    return windows.where("digest IS NULL").select("row", mark).union(later.select("row", mark))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each row.
@@ -356,7 +405,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id",
 
     Repeats inside a batch are settled before the exchange, so a passage that a third of all
     documents hold arrives once per batch; only contexts that differ around a shared anchor
-    are sorted and merged, a group of one anchor at a time.
+    are sorted and merged, a group of one anchor at a time. Anchors with more than
+    ``MANY_CONTEXTS`` different contexts are settled by digests of their windows instead.
     """
     if not 2 * GRAM <= length <= 200:
         raise ValueError("length must lie between two grams and 200")
@@ -365,16 +415,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id",
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn(
         "row", F.xxhash64("doc_id", "text"))
     settled = materialise(_anchor_marks(rows, length))
-    open_ = settled.where("mark & 1 = 1").groupBy("row").agg(F.collect_list("mark").alias("marks"))
-    buckets = parallelism(spark)
+    suffixes = settled.where("mark & 1 = 1")
+    contexts = materialise(suffixes.groupBy("anchor").agg(F.count("*").alias("n")))
+    n_open = contexts.agg(F.sum("n")).first()[0] or 0
+    # Of all suffixes at most one in MANY_CONTEXTS names a hot anchor, and never more than 500,000 do.
+    hot = contexts.where(F.col("n") > max(MANY_CONTEXTS, n_open // 500_000)).select("anchor")
+    any_hot = hot.limit(1).count() > 0
+    few = suffixes.join(F.broadcast(hot), "anchor", "left_anti") if any_hot else suffixes
+    by_row = lambda marks: marks.groupBy("row").agg(F.collect_list("mark").alias("marks"))
+    open_ = by_row(few)
+    buckets = max(parallelism(spark), -(-n_open // BUCKET_SUFFIXES))
     runs = in_batches(
         rows.join(open_, "row").dropDuplicates(["row"]).select("doc_id", "row", "text", "marks"),
         lambda batches: _suffix_runs(batches, length, buckets),
         "bucket int, common binary, rest binary, tails binary, lefts binary, docs binary, "
         "rows binary, marks binary")
     found = runs.groupBy("bucket").applyInArrow(_merge_bucket(length), "row bigint, mark bigint")
-    repeats = settled.where("mark & 1 = 0").union(found).groupBy("row").agg(
-        F.collect_list("mark").alias("marks"))
+    if any_hot:
+        frequent = by_row(suffixes.join(F.broadcast(hot), "anchor", "left_semi"))
+        found = found.union(_hot_marks(rows, frequent, length))
+    repeats = by_row(settled.where("mark & 1 = 0").select("row", "mark").union(found))
 
     def cut(batches):
         for batch in slices(batches, "text", 4 << 20):

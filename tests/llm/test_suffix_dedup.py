@@ -80,3 +80,20 @@ def test_merge_of_front_coded_runs(runs):
             n += 1
         assert string == payload and shared == n
         before = string
+
+
+@pytest.mark.parametrize("many", [3, 40])
+def test_one_passage_in_many_contexts(spark, monkeypatch, many):
+    """More contexts than a task merges: windows are settled by their digests."""
+    monkeypatch.setattr(suffix_dedup, "MANY_CONTEXTS", many)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, other = letters(150), letters(180)
+    rows = [(None, letters(60) + passage + letters(40))]
+    for i in range(120):
+        cut = rng.randrange(0, 60)
+        rows.append((i, letters(rng.randrange(90)) + passage[cut:] + letters(rng.randrange(90))))
+        if i % 10 == 0:
+            rows.append((500 + i, letters(30) + other + letters(30) + passage))
+    check(spark, rows, 5)
