@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .common import in_batches, slices
 
 UNKNOWN = "und"
+#: All dictionaries go to every task; labels that need more than this are an error, not a cut.
+MODEL_BYTES = 1 << 28
 #: So many labelled rows of each language are learned from, whatever the sample gives.
 LEAST_ROWS = 16
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -30,7 +32,7 @@ def learn(labelled: DataFrame, dictionary_bytes: int = 1 << 16, key: str = "doc_
     about four dictionaries' worth of text, each text cut at one dictionary's size, and in any
     case the least row of each of `LEAST_ROWS` parts of the hash's range, so a language of a few
     long texts has its dictionary too. Rows with a null label or text or without a letter up to the
-    cut are not used, equal rows count once. The driver gets some dictionaries' worth of text per
+    cut are not used, equal rows count once. More labels than fit ``MODEL_BYTES`` are an error. The driver gets some dictionaries' worth of text per
     language, never more.
     """
     rows = labelled.select(
@@ -45,6 +47,8 @@ def learn(labelled: DataFrame, dictionary_bytes: int = 1 << 16, key: str = "doc_
         kept.append(r["least"])
     if not sizes:
         return {}
+    if len(sizes) * dictionary_bytes > MODEL_BYTES:
+        raise ValueError(f"{len(sizes)} labels; are these languages?")
     # A share of the hash's range for each language.
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (
         name, min(1.0, 4 * dictionary_bytes / max(n, 1)))])[F.col("lang")]

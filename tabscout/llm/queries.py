@@ -168,10 +168,9 @@ FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no G
 
 
 def op4(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
-    shown = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
-    return language.classify(shown, model, keep=("doc_id", "held_out")).select(
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.identify(docs, keep=("doc_id", "held_out")).select(
         "row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 

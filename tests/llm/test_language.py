@@ -1,5 +1,9 @@
 """Compression classification: held-out accuracy, rejections and odd rows."""
 
+import re
+
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tabscout.llm import language, queries
@@ -49,3 +53,40 @@ def test_few_very_long_texts(spark):
     texts = docs.where("doc_id IN (0, 1000, 3000)").distinct()
     got = language.classify(texts, model).select("row.lang", "lang_pred", "rejected").collect()
     assert [(r.lang_pred, r.rejected) for r in got] == [(r.lang, False) for r in got]
+
+
+def test_every_text_compressed_by_itself(spark, data, monkeypatch):
+    """Label, score and rejection against plain compression, text by text and block by block."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.learn(docs.where("doc_id % 3 = 0"))
+    got = {r["doc_id"]: r for r in language.classify(docs, model, keep=("doc_id",)).select(
+        "row.doc_id", "lang_pred", "score", "rejected").collect()}
+    for r in docs.collect():
+        words = re.sub(r"[^a-zà-ÿ]+", " ", (r["text"] or "").lower())
+        if not words.strip():
+            continue
+        content = language.letters(r["text"])
+        sizes = []
+        for name, dictionary in sorted(model.items()):
+            press = zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=(
+                zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
+            sizes.append((sum(len(press.compress(content[i:i + 4096]))
+                              for i in range(0, len(content), 4096)), name))
+        sizes.sort()
+        score = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        row = got[r["doc_id"]]
+        assert (row["lang_pred"], row["rejected"]) == (sizes[0][1], score < 0.003)
+        assert row["score"] == pytest.approx(score)
+    monkeypatch.setattr(language, "MODEL_BYTES", 1 << 16)
+    with pytest.raises(ValueError, match="labels"):
+        language.learn(docs)
+
+
+def test_rows_without_an_id_teach_nothing(spark, tmp_path):
+    rows = [(None, "qqq www zzz kkk " * 40, "odd")] * 30 + [
+        (i, "the of and that with " * 30, "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = queries.op4(spark, str(tmp_path))
+    assert {r["lang_pred"] for r in found.select("lang_pred").distinct().collect()} == {"en"}
+    assert found.where("doc_id IS NULL AND held_out").count() == 0
