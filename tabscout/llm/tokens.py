@@ -30,18 +30,19 @@ class PieceEncoder:
 
     ``drops_space`` says that the vocabulary ignores white space; otherwise a single space
     belongs to the piece after it. Text with other runs of white space around a space is
-    encoded whole. At most about ``most`` pieces are remembered, by 64-bit hashes in arrays;
-    later ones are forgotten after their batch.
+    encoded whole. At most about ``most`` pieces are remembered, by 64-bit hashes in arrays
+    (some 40 bytes each); later ones are forgotten after their batch.
     """
 
-    def __init__(self, path: str, end_id: int, drops_space: bool, most: int = 800_000):
+    def __init__(self, path: str, end_id: int, drops_space: bool, most: int = 2_500_000,
+                 most_parts: int = 160_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = array("I", [end_id]).tobytes()
-        self.drops_space, self.most = drops_space, most
+        self.drops_space, self.most, self.most_parts = drops_space, most, most_parts
         mark = (lambda t: t.endswith("</w>")) if drops_space else (lambda t: t.startswith("Ġ"))
         vocabulary = self.tokenizer.get_vocab()
         self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -116,7 +117,7 @@ class PieceEncoder:
         out.update([(word, known[core] + known[tail]) for word, core, tail in plain])
         for word, parts in cuts.items():
             out[word] = b"".join([known[p] for p in parts])
-        if len(known) > self.most // 5:
+        if len(known) > self.most_parts:
             known.clear()
         return [out[word] for word in words]
 

@@ -92,8 +92,34 @@ class WaveletMatrix:
         return self.rank(value, self.n)
 
     def select(self, value: int, k: int) -> int:
-        """Place of the k-th occurrence, from 0."""
-        return int(self.positions(value)[k])
+        """Place of the k-th occurrence, from 0: its place at the bottom, walked back up."""
+        if value < 0 or value >> len(self.zeros):
+            raise IndexError(k)
+        low, high = self._range(value, 0, self.n)
+        if not 0 <= k < high - low:
+            raise IndexError(k)
+        place = low + k
+        for level in range(len(self.zeros) - 1, -1, -1):
+            one = value >> (len(self.zeros) - 1 - level) & 1
+            place = self._nth(level, one, place - self.zeros[level] if one else place)
+        return place
+
+    def _nth(self, level: int, one: int, k: int) -> int:
+        """Place of the k-th one (or zero) of a level, by bisection in its directory."""
+        ranks = self.ranks[level]
+        low, high = 0, len(ranks) - 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            before = int(ranks[middle]) if one else 8 * middle - int(ranks[middle])
+            low, high = (middle, high) if before <= k else (low, middle)
+        k -= int(ranks[low]) if one else 8 * low - int(ranks[low])
+        byte = int(self.planes[level, low])
+        for bit in range(8):
+            if byte >> (7 - bit) & 1 == one:
+                if k == 0:
+                    return 8 * low + bit
+                k -= 1
+        raise IndexError(k)
 
     def positions(self, value: int) -> np.ndarray:
         """Ascending places of all occurrences: their bottom range walked back up."""
@@ -127,6 +153,8 @@ class WaveletMatrix:
 def _pack(tokens: np.ndarray, doc_ids: list, lengths: list[int], bits: int):
     import zstandard
 
+    if len(tokens) and int(tokens.max()) >> bits:
+        raise ValueError(f"token id {int(tokens.max())} does not fit {bits} bits")
     press = zstandard.ZstdCompressor(level=1)
     zeros, planes = build(tokens.astype(np.uint16 if bits <= 16 else np.uint32), bits)
     known = np.array([d is not None for d in doc_ids], np.uint8)
@@ -153,7 +181,7 @@ def write_index(docs: DataFrame, tokenizer: str, end_id: int = 2, drops_space: b
                 key: str = "doc_id", text: str = "text") -> str:
     """Tokenize every text and write the index in ascending order of key; returns its path.
 
-    Null text counts as empty and still gets its end id; rows without a key come first;
+    Ids that do not fit ``bits`` are an error. Null text counts as empty and still gets its end id; rows without a key come first;
     rows of one key follow each other in the order of their texts. A document is never
     split over blocks, so one of more than ``block_tokens`` ids makes a block of its own.
     Files go through Spark's writer: a lost executor repeats its task and nothing else.

@@ -26,7 +26,7 @@ TEXTS = [
 
 @pytest.mark.parametrize("path,drops", [(WORD, True), (BYTE, False)])
 def test_pieces_equal_whole(path, drops):
-    whole, pieces = Tokenizer.from_file(path), PieceEncoder(path, 2, drops, most=5)
+    whole, pieces = Tokenizer.from_file(path), PieceEncoder(path, 2, drops, most=5, most_parts=3)
     whole.encode_special_tokens = True
 
     def same(texts):
@@ -60,6 +60,17 @@ def test_wavelet_matrix(values, probe):
         values[:i].count(probe) for i in range(len(values) + 1)]
 
 
+def test_ids_beyond_the_width_and_places_beyond_the_count():
+    with pytest.raises(ValueError, match="70000"):
+        wavelet._pack(np.array([5, 70_000], np.uint32), [1], [2], 16)
+    zeros, planes = wavelet.build(np.array([3, 1, 3], np.uint16), 4)
+    m = wavelet.WaveletMatrix(3, zeros, planes)
+    assert [m.select(3, k) for k in (0, 1)] == [0, 2]
+    for value, k in ((3, 2), (3, -1), (2, 0), (99, 0), (-1, 0)):
+        with pytest.raises(IndexError):
+            m.select(value, k)
+
+
 ROWS = [(7, "The cat sat."), (3, None), (1, "the of the of"), (9, ""), (7, "again"), (None, "x y"),
         (12, "word " * 3000)]
 
