@@ -288,6 +288,12 @@ def upsert(log: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
     ])
 
 
+def renumber(rows: DataFrame, first: int, seq: str = "seq") -> DataFrame:
+    """Results of one write, few, numbered from ``first`` in their order."""
+    order = Window.orderBy(col(seq))
+    return rows.withColumn(seq, F.row_number().over(order).cast("bigint") - 1 + F.lit(first))
+
+
 def find_result(log: DataFrame, dataset_id: int, model: str) -> DataFrame:
     """Rows of one dataset and learner, the learner given in any accepted spelling."""
     label = K.STRICT_ALIASES.get(str(model).strip())

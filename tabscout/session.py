@@ -24,6 +24,8 @@ def get_spark(app_name: str = "tabscout", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Learners that are fitted side by side share the cores.
+        "spark.scheduler.mode": "FAIR",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for name, value in settings.items():

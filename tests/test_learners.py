@@ -13,6 +13,7 @@ from tabscout.plans.score import score
 from tabscout.operators.profile import DatasetSpec
 from tabscout.session import scratch_path
 from tabscout.sources.artifacts import load_model
+from tabscout.sources.logstore import ResultLog
 from tabscout.streaming.score_stream import read_stream, score_stream
 from workload.fixtures import table
 
@@ -157,12 +158,13 @@ def test_suite_logs_failures_and_resumes(spark, data):
     assert counters == {"run": 1, "skipped": 0, "resumed": 0, "failed": 1}
     row = summary.first()
     assert (row["rows"], row["successful"], row["complete_datasets"]) == (6, 5, 0)
-    failed = spark.read.parquet(path).filter("status = 'failed'").first()
+    log = ResultLog(spark, path)
+    failed = log.read().filter("status = 'failed'").first()
     assert failed["model"] == "KNN" and "5000 neighbours" in failed["error"]
     summary, counters = U.run_benchmark(spark, specs[:1], lambda s: "doc_id", path, SMALL_SUITE)
     assert counters == {"run": 1, "skipped": 0, "resumed": 1, "failed": 0}
     assert summary.first()["matrix_complete"]
-    assert spark.read.parquet(path).count() == 7
+    assert log.read().count() == 6 and log.read().filter("status = 'failed'").count() == 0
     _, counters = U.run_benchmark(spark, specs[:1], lambda s: "doc_id", path, SMALL_SUITE)
     assert counters["skipped"] == 1
 
@@ -220,3 +222,23 @@ def test_stream_equals_batch(spark, data, name):
     got = spark.read.parquet(sink).select("o_totalprice", "prediction")
     want = score(df, trained.model, trained.meta).select("o_totalprice", "prediction")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_cancelled_learner_leaves_the_others(spark, data):
+    import threading
+    import time
+
+    done = []
+    canceller = threading.Thread(target=lambda: [
+        (time.sleep(0.5), spark.sparkContext.cancelJobGroup("suite-RandomForest"))
+        for _ in range(60) if not done])
+    canceller.start()
+    rows = U.run_suite(table(spark, data, "labels"), "quality", "doc_id",
+                       ["DecisionTree", "RandomForest", "LogisticRegression"],
+                       {**SMALL_SUITE, "RandomForest": {"numTrees": 400, "maxDepth": 12}})
+    done.append(True)
+    canceller.join()
+    status = {r["model"]: r["status"] for r in rows}
+    assert status == {"LogisticRegression": "success", "DecisionTree": "success",
+                      "RandomForest": "failed"}
+    assert "cancel" in [r["error"] for r in rows if r["model"] == "RandomForest"][0].lower()

@@ -98,3 +98,67 @@ def test_task_of_unusable_targets(spark):
         df = spark.createDataFrame([(v,) for v in values], "y double")
         with pytest.raises(Exception, match="target has"):
             detect_task(df, "y")
+
+
+def result(spark, dataset, model, accuracy, seq=0):
+    row = {"seq": seq, "dataset_id": dataset, "dataset_name": f"d{dataset}", "model": model,
+           "accuracy": accuracy, "status": "success"}
+    schema = logstore.empty_log(spark).schema
+    return spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema)
+
+
+def held(log):
+    return sorted((r["dataset_id"], r["model"], r["accuracy"]) for r in log.read().collect())
+
+
+def test_results_are_replaced_in_place(spark, monkeypatch):
+    path = scratch_path(spark, "results")
+    log = logstore.ResultLog(spark, path)
+    assert log.read().count() == 0
+    for run in range(4):
+        log.upsert(result(spark, 1, "KNN", run / 10).unionByName(result(spark, 2, "SVM", 0.5, 1)))
+    log.upsert(result(spark, 1, "SVM", 0.9))
+    assert held(log) == [(1, "KNN", 0.3), (1, "SVM", 0.9), (2, "SVM", 0.5)]
+    rows = log.read().collect()
+    assert len({r["seq"] for r in rows}) == 3
+    files = [s.getPath().getName() for s in log._files.listStatus(log._at(""))]
+    # What older versions named is gone.
+    assert len(files) <= 1 + 2 * log.KEPT
+    log.upsert(result(spark, 3, "no such learner", 0.1))
+    assert len(held(log)) == 3
+
+
+def test_two_writers_lose_nothing(spark):
+    from threading import Thread
+
+    path = scratch_path(spark, "results")
+
+    def write(first):
+        for i in range(3):
+            logstore.ResultLog(spark, path).upsert(result(spark, i, ("KNN", "SVM")[first], first + i / 10))
+
+    writers = [Thread(target=write, args=(n,)) for n in (0, 1)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    log = logstore.ResultLog(spark, path)
+    assert held(log) == sorted((i, m, n + i / 10) for n, m in enumerate(("KNN", "SVM")) for i in range(3))
+    assert len({r["seq"] for r in log.read().collect()}) == 6
+
+
+def test_a_lost_race_starts_again(spark, monkeypatch):
+    path = scratch_path(spark, "results")
+    log, other = logstore.ResultLog(spark, path), logstore.ResultLog(spark, path)
+    true = logstore.ResultLog._commit
+    calls = []
+
+    def late(self, version, state):
+        if self is log and not calls:
+            calls.append(1)
+            other.upsert(result(spark, 1, "SVM", 0.2))
+        return true(self, version, state)
+
+    monkeypatch.setattr(logstore.ResultLog, "_commit", late)
+    log.upsert(result(spark, 1, "KNN", 0.1))
+    assert held(log) == [(1, "KNN", 0.1), (1, "SVM", 0.2)]
