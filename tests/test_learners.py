@@ -226,18 +226,22 @@ def test_stream_equals_batch(spark, data, name):
 
 def test_a_cancelled_learner_leaves_the_others(spark, data):
     import threading
-    import time
 
-    done = []
-    canceller = threading.Thread(target=lambda: [
-        (time.sleep(0.5), spark.sparkContext.cancelJobGroup("suite-RandomForest"))
-        for _ in range(60) if not done])
+    context, done = spark.sparkContext, threading.Event()
+
+    def cancel():
+        while not done.wait(0.5):
+            context.cancelJobGroup("suite-RandomForest")
+
+    canceller = threading.Thread(target=cancel)
     canceller.start()
-    rows = U.run_suite(table(spark, data, "labels"), "quality", "doc_id",
-                       ["DecisionTree", "RandomForest", "LogisticRegression"],
-                       {**SMALL_SUITE, "RandomForest": {"numTrees": 400, "maxDepth": 12}})
-    done.append(True)
-    canceller.join()
+    try:
+        rows = U.run_suite(table(spark, data, "labels"), "quality", "doc_id",
+                           ["DecisionTree", "RandomForest", "LogisticRegression"],
+                           {**SMALL_SUITE, "RandomForest": {"numTrees": 400, "maxDepth": 12}})
+    finally:
+        done.set()
+        canceller.join()
     status = {r["model"]: r["status"] for r in rows}
     assert status == {"LogisticRegression": "success", "DecisionTree": "success",
                       "RandomForest": "failed"}
