@@ -6,6 +6,7 @@ Features are small integers, so every value has a bin of its own and SQL can try
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabscout.operators.learners import SUITE_MAKERS, make_learner
@@ -37,8 +38,6 @@ def _fitted(sql, name, make, probability):
         scored = make().fit(rows).transform(rows)
         out = [F.col("id"), F.round("prediction", 1).alias("prediction")]
         if probability:
-            from pyspark.ml.functions import vector_to_array
-
             out.append(F.round(vector_to_array("probability")[1], 6).alias("probability"))
         return scored.select(*out)
     return run
@@ -145,11 +144,48 @@ I02_SQL = """WITH levels AS (
   FROM orders o JOIN best b ON o.o_orderpriority = b.o_orderpriority"""
 
 
+def f01_two_values(spark, d):
+    """Logistic regression on one feature of two values: its penalised optimum is known."""
+    rows = table(spark, d, "orders").select(
+        F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0).alias("x"),
+        F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias(LABEL))
+    rows = VectorAssembler(inputCols=["x"], outputCol=FEATURES).transform(rows)
+    scored = make_learner("logistic regression", "classification").fit(rows).transform(rows)
+    share = F.round(vector_to_array("probability")[1], 3).alias("probability")
+    return scored.groupBy("x", "prediction", share).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Newton's steps for the constant b and the penalised weight w.
+F01_SQL = """WITH RECURSIVE cells AS (
+    SELECT CAST(sum(CASE WHEN x THEN 0 ELSE 1 END) AS DOUBLE) AS n0, CAST(sum(CASE WHEN x THEN 1 ELSE 0 END) AS DOUBLE) AS n1,
+      CAST(sum(CASE WHEN y AND NOT x THEN 1 ELSE 0 END) AS DOUBLE) AS y0,
+      CAST(sum(CASE WHEN y AND x THEN 1 ELSE 0 END) AS DOUBLE) AS y1
+    FROM (SELECT o_orderpriority = '1-URGENT' AS x, o_orderstatus = 'F' AS y FROM orders)),
+  steps AS (
+    SELECT 0 AS k, 0.0::DOUBLE AS b, 0.0::DOUBLE AS w
+    UNION ALL
+    SELECT k + 1, b - (hww * gb - hbw * gw) / (hbb * hww - hbw * hbw),
+      w - (hbb * gw - hbw * gb) / (hbb * hww - hbw * hbw)
+    FROM (SELECT k, b, w, n0 * p0 - y0 + n1 * p1 - y1 AS gb, n1 * p1 - y1 + w AS gw,
+        n0 * p0 * (1 - p0) + n1 * p1 * (1 - p1) AS hbb, n1 * p1 * (1 - p1) AS hbw,
+        n1 * p1 * (1 - p1) + 1 AS hww
+      FROM (SELECT k, b, w, 1 / (1 + exp(-b)) AS p0, 1 / (1 + exp(-b - w)) AS p1 FROM steps), cells)
+    WHERE k < 30),
+  ends AS (SELECT b, w FROM steps WHERE k = 30),
+  told AS (SELECT 0.0::DOUBLE AS x, 1 / (1 + exp(-b)) AS p FROM ends
+    UNION ALL SELECT 1.0::DOUBLE, 1 / (1 + exp(-b - w)) FROM ends)
+  SELECT x, CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
+    round(p, 3) AS probability, count(*) AS n
+  FROM told JOIN (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+    AS x FROM orders) USING (x) GROUP BY 1, 2, 3"""
+
+
 def _suite(name, **params):
     return lambda: SUITE_MAKERS[name][1](**params)
 
 
 QUERIES = {
+    "f01_two_values": (f01_two_values, F01_SQL),
     "f02_unlimited_tree": (f02_unlimited, F02_SQL),
     "f03_forest_of_one": (_fitted(_ORDERS, "orders", lambda: make_learner(
         "random forest", "classification", {
