@@ -34,7 +34,7 @@ class PieceEncoder:
     (some 40 bytes each); later ones are forgotten after their batch.
     """
 
-    def __init__(self, path: str, end_id: int, drops_space: bool, most: int = 2_500_000,
+    def __init__(self, path: str, end_id: int, drops_space: bool, most: int = 800_000,
                  most_parts: int = 160_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -185,10 +185,10 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, end_id: int, drops_space: bool) -> PieceEncoder:
+def encoder(path: str, end_id: int, drops_space: bool, most: int = 800_000) -> PieceEncoder:
     """One per worker process, kept between tasks."""
-    key = (path, end_id, drops_space)
+    key = (path, end_id, drops_space, most)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(path, end_id, drops_space)
+        _ENCODERS[key] = PieceEncoder(*key)
     return _ENCODERS[key]

@@ -197,7 +197,7 @@ def write_index(docs: DataFrame, tokenizer: str, end_id: int = 2, drops_space: b
 
         from tabscout.llm.tokens import encoder
 
-        encode = encoder(tokenizer, end_id, drops_space).encode
+        encode = encoder(tokenizer, end_id, drops_space, 2_500_000).encode
         part, block = TaskContext.get().partitionId(), 0
         held, names, lengths, total = [], [], [], 0
 
