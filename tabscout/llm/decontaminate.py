@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabscout.session import materialise
 
-from .common import in_batches, parallelism, slices
+from .common import give_back_heap, in_batches, parallelism, slices
 from .words import words
 
 #: Characters of benchmark text that one pass over the documents takes as queries.
@@ -312,6 +312,7 @@ def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarra
                 pa.array([h[k] for h in hits], t) for k, t in enumerate(
                     [pa.int64(), pa.int64(), pa.float64(), pa.float64()])],
                 names=["doc_id", "item_id", "match", "answer_match"])
+        give_back_heap()
 
     return in_batches(docs, find, "doc_id bigint, item_id bigint, match double, answer_match double")
 

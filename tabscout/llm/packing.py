@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabscout.session import materialise, ship_package
 
-from .common import in_batches, slices
+from .common import give_back_heap, in_batches, slices
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
@@ -49,6 +49,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int
             n = 5 + keep_ids
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out[:n], types[:n], strict=True)], names[:n])
+            out = coded = None
+        give_back_heap()
 
     return in_batches(rows, cut, "doc_id bigint, piece int, start bigint, length bigint, "
                       "ids_crc32 bigint" + ", ids binary" * keep_ids)
