@@ -65,6 +65,49 @@ def test_wide_correlation_with_gaps(spark):
     assert correlate.mean_abs_correlation(df, few).first()[0] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("tile", [1, 5, 12])
+def test_correlation_in_tiles(spark, monkeypatch, tile):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2300, 12)) * 3 - 1e5
+    x[:, 7] -= x[:, 2]
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 4], x[:, 9] = -2.5, np.nan
+    pdf = pd.DataFrame(x, columns=[f"c.{i}" for i in range(12)])
+    monkeypatch.setattr(correlate, "TILE", tile)
+    pairs = correlate.pair_correlations(
+        spark.createDataFrame(pdf).repartition(3), list(pdf.columns)).collect()
+    assert len(pairs) == len({(r["a"], r["b"]) for r in pairs}) == 66
+    want = pdf.corr().to_numpy()
+    for r in pairs:
+        expected = want[r["a"], r["b"]]
+        assert r["a"] < r["b"]
+        if np.isnan(expected):
+            assert r["r"] is None
+        else:
+            assert r["r"] == pytest.approx(expected, abs=1e-9)
+
+
+def test_a_scan_for_every_tile(spark, monkeypatch):
+    names = [f"c{i}" for i in range(300)]
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(60, 300)), columns=names)
+    monkeypatch.setattr(correlate, "TILE", 128)
+    pairs = correlate.pair_correlations(spark.createDataFrame(pdf), names)
+    # Three blocks make six tiles, each with a scan of its own.
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 6
+    got = pairs.agg(F.count("r"), F.avg(F.abs("r"))).first()
+    r = np.abs(pdf.corr().to_numpy()[np.triu_indices(300, 1)])
+    assert got[0] == len(r) and got[1] == pytest.approx(r.mean(), abs=1e-9)
+
+
+def test_tiles_of_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(correlate, "TILE", 4)
+    empty = spark.createDataFrame([], ", ".join(f"c{i} double" for i in range(9)))
+    assert correlate.mean_abs_correlation(empty, empty.columns).first()[0] is None
+
+
 def test_profile_against_pandas(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"a": rng.normal(size=80), "b": rng.integers(0, 9, 80).astype(float),
