@@ -180,6 +180,29 @@ def test_cross_validation(spark, data):
     assert len(rows) == 1 and 0 <= rows[0]["f1_macro_mean"] <= 1 and rows[0]["f1_macro_std"] >= 0
 
 
+def test_folds_side_by_side_share_no_properties(spark, data, monkeypatch):
+    import threading
+
+    context, together = spark.sparkContext, threading.Barrier(2, timeout=60)
+    seen = []
+
+    class Watch:
+        def fit(self, rows):
+            own = str(threading.get_ident())
+            context.setLocalProperty("ts.thread", own)
+            together.wait()
+            seen.append(context.getLocalProperty("ts.thread") == own)
+            together.wait()
+            raise InterruptedError
+
+    monkeypatch.setattr(U, "suite", lambda shape, params: {
+        n: U.Entry(False, Watch(), None) for n in U.K.OFFICIAL_LEARNERS})
+    with pytest.raises(InterruptedError):
+        U.cross_validate(table(spark, data, "labels"), "quality", "doc_id", ["DecisionTree"], folds=2,
+                         parallelism=2)
+    assert seen == [True, True]
+
+
 def test_selector_round_trip(spark, data):
     from tabscout.operators import benchlog as J
 
