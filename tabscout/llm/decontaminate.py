@@ -125,13 +125,20 @@ def idf_weights(df: np.ndarray, n: int, most_share: float = 0.1) -> np.ndarray:
     return idf.astype(np.float32)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each start to the next; the starts ascend, some may be equal."""
-    out = np.zeros((len(starts), values.shape[1]), values.dtype)
-    if len(values):
-        full = np.flatnonzero(np.diff(starts, append=len(values)))
-        if len(full):
-            out[full] = np.add.reduceat(values, starts[full], axis=0)
+def _sums(table: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows ``at``, from each start to the next; some starts may be equal.
+
+    The k-th rows of all sums are added at a time, the longest sums first.
+    """
+    n = np.diff(starts, append=len(at))
+    order = np.argsort(-n, kind="stable")
+    n, begin = n[order], starts[order]
+    sums = np.zeros((len(starts), table.shape[1]), table.dtype)
+    for k in range(n[0] if len(n) else 0):
+        live = np.searchsorted(-n, -k)
+        sums[:live] += table[at[begin[:live] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
     return out
 
 
@@ -153,7 +160,7 @@ def latent_basis(docs: DataFrame, queries: Queries, idf: np.ndarray, rank: int =
         """A'(A omega) of passages given as feature numbers and the first word of each."""
         seen = np.flatnonzero(idf[at] > 0)
         at, starts = at[seen], np.searchsorted(seen, starts)
-        y = _sums(weighted[at], starts)
+        y = _sums(weighted, at, starts)
         owner = np.searchsorted(starts, np.arange(len(at)), "right") - 1
         order = np.argsort(at, kind="stable")
         out = np.zeros((len(idf), width), np.float64)
@@ -233,6 +240,27 @@ def _masks(item: np.ndarray) -> dict[int, int]:
     return out
 
 
+def most_common(words: list[tuple], at: np.ndarray, item: np.ndarray, low: np.ndarray,
+                high: np.ndarray) -> np.ndarray:
+    """The most words that each span of a text can share with its item, whatever their order.
+
+    ``words`` are each item's distinct words and their counts. A word counts as often as both
+    have it, so no common subsequence is longer.
+    """
+    n = len(at) + 1
+    places = np.sort(at * np.int64(n) + np.arange(len(at)))
+    out = np.zeros(len(item), np.int64)
+    order = np.lexsort((low, item))
+    edges = np.flatnonzero(np.diff(item[order], prepend=-1))
+    for members in np.split(order, edges[1:]) if len(order) else ():
+        own, counts = words[item[members[0]]]
+        base = own[:, None] * np.int64(n)
+        for some in np.array_split(members, len(members) // 4096 + 1):
+            there = np.searchsorted(places, base + high[some]) - np.searchsorted(places, base + low[some])
+            out[some] = np.minimum(there, counts[:, None]).sum(0)
+    return out
+
+
 def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarray,
             least_cosine: float, least_match: float, paraphrase: float) -> DataFrame:
     latent = idf[:, None] * basis
@@ -259,6 +287,10 @@ def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarra
             least = min(shown[np.isin(owner, owner[own]) & (norms > 1e-6)])
             lines.append((size, step, own, least))
 
+    floor = min(least_match, paraphrase)
+    sizes = np.array([len(i) for i in items])
+    counted = [np.unique(i, return_counts=True) for i in items]
+
     def find(batches):
         masks = [_masks(i) for i in items]
         tails = [_masks(i[-a:]) for i, a in zip(items, queries.answers, strict=True)]
@@ -266,7 +298,7 @@ def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarra
             names, out = batch.column("doc_id").to_pylist(), {}
             low_of = np.append(0, stops[:-1])
             heavy = np.flatnonzero(idf[at] > 0)
-            pairs = set()
+            pairs = []
 
             def passages(size, step):
                 """Document, first word and end of each passage."""
@@ -285,27 +317,32 @@ def _search(docs: DataFrame, queries: Queries, idf: np.ndarray, basis: np.ndarra
                     n = last[some] - first[some]
                     ahead = np.cumsum(n) - n
                     words_of = heavy[np.repeat(first[some] - ahead, n) + np.arange(n.sum())]
-                    sums = _sums(latent[at[words_of]], ahead)
+                    sums = _sums(latent, at[words_of], ahead)
                     shared = sums @ unit[own].T
                     i, j = np.nonzero(
                         (shared >= least_cosine * np.maximum(np.linalg.norm(sums, axis=1), 1e-6)[:, None])
                         | (shared >= LEAST_PART * norms[own][None, :]))
                     i = some[i]
-                    pairs.update(zip(doc[i].tolist(), owner[own[j]].tolist(), begin[i].tolist(),
-                                     end[i].tolist(), strict=True))
+                    pairs.append((doc[i], owner[own[j]], begin[i], end[i]))
             if len(blank):
-                for d, low, high in zip(*(x.tolist() for x in passages(PASSAGE, STEP)), strict=True):
-                    pairs.update((d, j, low, high) for j in blank.tolist())
-            for d, j, low, high in pairs:
-                best = out.get((d, j), (0.0, 0))
+                places = passages(PASSAGE, STEP)
+                pairs += [(places[0], np.full(len(places[0]), j), *places[1:]) for j in blank.tolist()]
+            doc, item, begin, end = (np.concatenate(c) for c in zip(*pairs)) if pairs else [np.zeros(0, int)] * 4
+            reach = sizes[item] + PASSAGE
+            begin, end = np.maximum(low_of[doc], begin - reach), np.minimum(stops[doc], end + reach)
+            doc, item, begin, end = np.unique(np.stack((doc, item, begin, end)), axis=1)
+            # Words out of order only raise the count: what falls short here cannot match.
+            near = most_common(counted, at, item, begin, end) >= floor * sizes[item] - 1e-6
+            for d, j, low, high in zip(*(x[near].tolist() for x in (doc, item, begin, end)), strict=True):
+                best = out.get((d, j), (0.0, 0.0))
                 if best[0] >= 1:
                     continue
-                item, reach = items[j], len(items[j]) + PASSAGE
-                text = at[max(int(low_of[d]), low - reach):min(int(stops[d]), high + reach)]
-                match = common_subsequence(masks[j], len(item), text) / len(item)
-                if match > best[0]:
+                text, own = at[low:high], counted[j][0]
+                text = text[own[np.minimum(np.searchsorted(own, text), len(own) - 1)] == text]
+                match = common_subsequence(masks[j], len(items[j]), text) / len(items[j])
+                if match >= best[0]:
                     n = queries.answers[j]
-                    out[d, j] = (match, common_subsequence(tails[j], n, text) / n)
+                    out[d, j] = max(best, (match, common_subsequence(tails[j], n, text) / n))
             hits = [(names[d], queries.ids[j], m, a) for (d, j), (m, a) in out.items()
                     if m >= least_match or m >= paraphrase and a >= least_match]
             yield pa.RecordBatch.from_arrays([

@@ -90,3 +90,39 @@ def test_copies_of_short_and_long_items(spark):
     assert len(want) >= len(rows) and got >= want
     # Besides, only what has a whole answer and most of the item's words.
     assert len(got - want) <= 0.05 * len(want)
+
+
+def test_only_spans_that_hold_enough_of_an_item_are_aligned(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tabscout.llm import decontaminate as D
+
+    rng = np.random.default_rng(5)
+    # The items share words with every text, but none holds two thirds of an item but the copy.
+    rows = [(j, " ".join(f"w{x}" for x in rng.integers(0, 400, 30))) for j in range(20)]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 300)) for _ in range(40)]
+    texts[7] += " " + rows[3][1]
+    queries = D.queries_of(rows)
+    parts = [queries.features(D.words([t.encode()], True)[0]).astype(np.int32) for t in texts]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(40), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+        names=["doc_id", "words"])
+    aligned, real = [], D.common_subsequence
+    monkeypatch.setattr(D, "in_batches", lambda docs, work, schema: work)
+    monkeypatch.setattr(D, "common_subsequence", lambda *a: aligned.append(a) or real(*a))
+    idf = np.append(np.ones(len(queries.vocabulary), np.float32), np.float32(0))
+    basis = np.eye(len(idf), dtype=np.float32)
+    (found,) = D._search(None, queries, idf, basis, 0.1, 0.8, 0.65)([batch])
+    assert list(zip(*(c.to_pylist() for c in found.columns), strict=True)) == [(7, 3, 1.0, 1.0)]
+    assert len(aligned) < 60
+
+    # The bound is never less than the alignment.
+    at = np.concatenate(parts)
+    items = [queries.features(i) for i in queries.items]
+    item = rng.integers(0, 20, 500)
+    low = rng.integers(0, len(at) - 120, 500)
+    high = low + rng.integers(0, 120, 500)
+    bound = D.most_common([np.unique(i, return_counts=True) for i in items], at, item, low, high)
+    exact = [real(D._masks(items[j]), 30, at[a:b]) for j, a, b in zip(item, low, high, strict=True)]
+    assert (bound >= exact).all() and (bound <= 30).all()
