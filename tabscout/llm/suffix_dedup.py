@@ -30,6 +30,8 @@ SLICE = 1 << 20
 MANY_CONTEXTS = 4096
 #: Open suffixes of a bucket, about.
 BUCKET_SUFFIXES = 50_000
+#: Suffixes of very frequent anchors whose windows a bucket holds, about.
+HOT_SUFFIXES = 10_000
 _FIRST = -(1 << 63)
 
 
@@ -349,45 +351,73 @@ def _merge_bucket(length):
     return merge
 
 
-def _hot_marks(rows: DataFrame, marked: DataFrame, length: int) -> DataFrame:
+def _hot_marks(rows: DataFrame, marked: DataFrame, length: int, buckets: int) -> DataFrame:
     """(row, mark) of the windows of very frequent anchors that another one has earlier.
 
-    A window is known by a 128-bit digest. Of equal ones in a batch only the earliest leaves it; the
-    earliest of all is a grouped minimum, which Spark folds before the shuffle, so no task holds
-    an anchor's contexts. The windows are joined with it by digest, where adaptive execution
-    splits what one digest gathers: one row for a batch.
+    A window is known by a 128-bit digest and dealt by it, so a bucket holds windows of many anchors
+    and no task an anchor's contexts. Of equal windows in a batch only the earliest is compared; the
+    others are settled and go to a bucket of their document, so that no passage gathers them.
     """
-    def work(batches):
+    def deal(batches):
         for batch in slices(batches, "text", SLICE):
-            earliest: dict[bytes, tuple] = {}
-            windows = []
+            digests, places = [], []
             for doc, row, text, marks in zip(*(batch.column(c).to_pylist() for c in (
                     "doc_id", "row", "text", "marks")), strict=True):
                 data, doc = (text or "").encode(), _FIRST if doc is None else doc
                 for mark in marks:
                     first, last, _, _ = _unpacked(mark)
                     for start in range(first, last + 1):
-                        key = hashlib.blake2b(data[start:start + length], digest_size=16).digest()
-                        place = (doc, row, start)
-                        windows.append((key, place))
-                        if key not in earliest or place < earliest[key]:
-                            earliest[key] = place
-            keys = [k if earliest[k] == p else None for k, p in windows]
+                        digests.append(hashlib.blake2b(data[start:start + length], digest_size=16).digest())
+                        places.append((doc, row, start))
+            if not places:
+                continue
+            high, low = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
+            doc, row, start = np.array(places, np.int64).T
+            later = _later(high, low, doc, row, start)
+            group = (np.where(later, row.view(np.uint64), high) % np.uint64(buckets)).astype(np.int64) * 2 + later
+            order = np.argsort(group, kind="stable")
+            edges = np.flatnonzero(np.diff(group[order], prepend=-1))
+            out = [[] for _ in range(6)]
+            for at in np.split(order, edges[1:]):
+                settled = later[at[0]]
+                values = (group[at[0]] // 2, *(
+                    b"" if settled and k < 3 else c[at].tobytes()
+                    for k, c in enumerate((high, low, doc, row, start))))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), *(pa.array([p[i] for _, p in windows], pa.int64())
-                                                for i in range(3))],
-                names=["digest", "doc", "row", "start"])
+                [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(out)],
+                ["bucket", "highs", "lows", "docs", "rows", "starts"])
+
+    def merge(table):
+        settled = [c == b"" for c in table.column("docs").to_pylist()]
+        read = lambda name, kind, done: np.frombuffer(b"".join(
+            x for x, s in zip(table.column(name).to_pylist(), settled, strict=True) if s == done), kind)
+        row, start = read("rows", np.int64, False), read("starts", np.int64, False)
+        later = _later(read("highs", np.uint64, False), read("lows", np.uint64, False),
+                       read("docs", np.int64, False), row, start)
+        start = np.append(read("starts", np.int64, True), start[later])
+        return pa.table({"row": pa.array(np.append(read("rows", np.int64, True), row[later]), pa.int64()),
+                         "mark": pa.array(_packed(start, start, start, 0), pa.int64())})
 
     named = rows.join(marked, "row").dropDuplicates(["row"]).select("doc_id", "row", "text", "marks")
-    windows = materialise(in_batches(
-        named, work, "digest binary, doc bigint, row bigint, start bigint"))
-    place = F.struct("doc", "row", "start")
-    left = windows.where("digest IS NOT NULL")
-    first = left.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(
-        "n > 1").select("digest", "first")
-    later = left.join(first, "digest").where(place > F.col("first"))
-    mark = F.shiftleft("start", 17).alias("mark")
-    return windows.where("digest IS NULL").select("row", mark).union(later.select("row", mark))
+    return in_batches(named, deal, "bucket int, highs binary, lows binary, docs binary, rows binary, "
+                      "starts binary").groupBy("bucket").applyInArrow(merge, "row bigint, mark bigint")
+
+
+def _later(high, low, doc, row, start):
+    """Which windows have an equal one, by both halves of the digest, at an earlier place."""
+    order = np.lexsort((start, row, doc, low, high))
+    equal = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+    # The same place twice is no repeat: it is later only if another one comes before both.
+    again = equal & (row[order][1:] == row[order][:-1]) & (start[order][1:] == start[order][:-1])
+    new = np.append(True, ~equal)[:len(order)]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
+    same = np.append(False, again)[:len(order)]
+    moved = np.cumsum(~same)
+    out = np.zeros(len(order), bool)
+    out[order] = moved > moved[head] if len(order) else False
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id",
@@ -433,7 +463,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id",
     found = runs.groupBy("bucket").applyInArrow(_merge_bucket(length), "row bigint, mark bigint")
     if any_hot:
         frequent = by_row(suffixes.join(F.broadcast(hot), "anchor", "left_semi"))
-        found = found.union(_hot_marks(rows, frequent, length))
+        n_hot = contexts.join(F.broadcast(hot), "anchor", "left_semi").agg(F.sum("n")).first()[0]
+        found = found.union(_hot_marks(rows, frequent, length, max(
+            parallelism(spark), -(-n_hot // HOT_SUFFIXES))))
     repeats = by_row(settled.where("mark & 1 = 0").select("row", "mark").union(found))
 
     def cut(batches):

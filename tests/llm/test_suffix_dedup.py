@@ -97,3 +97,23 @@ def test_one_passage_in_many_contexts(spark, monkeypatch, many):
         if i % 10 == 0:
             rows.append((500 + i, letters(30) + other + letters(30) + passage))
     check(spark, rows, 5)
+
+
+def test_texts_are_dealt_once_for_few_and_many_contexts(spark, monkeypatch, tmp_path):
+    """Only the first pass reads the texts before the query of the result does."""
+    monkeypatch.setattr(suffix_dedup, "MANY_CONTEXTS", 3)
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, stored, reads = letters(150), suffix_dedup.materialise, []
+    rows = [(i, letters(50) + passage + letters(50)) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
+
+    def watched(df):
+        reads.append(any("/docs/" in f for f in df.inputFiles()))
+        return stored(df)
+
+    monkeypatch.setattr(suffix_dedup, "materialise", watched)
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {k: v[1] for k, v in brute(rows).items()} and sum(got.values()) >= 29 * 150
+    assert reads == [True, False]
