@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from tabscout.session import materialise, ship_package
@@ -21,18 +21,38 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def in_batches(df: DataFrame, work, schema: str) -> DataFrame:
-    """``mapInArrow`` whose function is importable on workers without the checkout."""
+    """``mapInArrow`` whose function is importable on workers without the checkout.
+
+    A worker serves many tasks of many operators: what a task freed goes back to the system.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def task(batches):
+        yield from work(batches)
+        give_back_heap()
+
+    return df.mapInArrow(task, schema)
+
+
+def in_groups(grouped: GroupedData, work, schema: str) -> DataFrame:
+    """``applyInArrow`` for few large groups, whose freed memory goes back to the system too."""
+    def task(table):
+        out = work(table)
+        give_back_heap()
+        return out
+
+    return grouped.applyInArrow(task, schema)
 
 
 def give_back_heap() -> None:
     """Return freed memory of a worker, which stays for the next tasks, to the system.
 
-    The C library keeps freed blocks between live ones; where it has no call for it, nothing is done.
+    Arrow and the C library keep freed blocks between live ones; where the library has no call for it,
+    only Arrow's are returned.
     """
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscout.session import materialise, ship_package
 
-from .common import components, in_batches, parallelism, slices
+from .common import components, in_batches, in_groups, parallelism, slices
 from .words import mixed, shingle_sets, signature
 
 #: Most documents, and shingles, of a block that is compared with another in one task.
@@ -104,7 +104,7 @@ def shared_in_prefix(docs: DataFrame, size: int, percent: int) -> DataFrame:
                          "n_shared": pa.array(counts, pa.int64())})
 
     blobs = in_batches(docs, deal, "bucket int, checks binary, sigs binary, counts binary")
-    found = blobs.groupBy("bucket").applyInArrow(merge, "sig bigint, n_shared bigint")
+    found = in_groups(blobs.groupBy("bucket"), merge, "sig bigint, n_shared bigint")
     return found.groupBy("sig").agg(F.sum("n_shared").alias("n_shared"))
 
 
@@ -321,8 +321,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     packed = in_batches(
         placed, _pack_rare, "sig bigint, cluster bigint, copies bigint, shingles binary, "
         "rare binary, low bigint, high bigint, side int, bundle bigint")
-    found = materialise(packed.groupBy("bundle", "low", "high").applyInArrow(
-        _verify(percent), "sig bigint, root bigint, links bigint"))
+    found = materialise(in_groups(
+        packed.groupBy("bundle", "low", "high"), _verify(percent), "sig bigint, root bigint, links bigint"))
 
     reach = components(found.select(F.col("sig").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("sig").agg(F.sum("links").alias("links"))

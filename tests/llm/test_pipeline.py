@@ -75,3 +75,28 @@ def test_null_and_repeated_ids(spark, data):
     assert pipeline.identify_language(spark, plain_text, data).count() == 9
     packed = pipeline.pack_sequences(spark, docs, data)
     assert packed.where("piece = 0").count() >= 8
+
+
+def test_every_task_gives_freed_memory_back(spark):
+    """Tasks that free 200 MB in small blocks leave a worker as small as it was."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tabscout.llm.common import in_batches
+
+    def work(batches):
+        for batch in batches:
+            blocks = [np.ones(8000, np.uint8) for _ in range(25_000)]
+            kept = blocks[-1].copy()
+            del blocks
+            yield pa.RecordBatch.from_arrays([pa.array([len(kept)] * batch.num_rows, pa.int64())], ["n"])
+
+    def size(batches):
+        list(batches)
+        with open("/proc/self/smaps_rollup") as file:
+            held = sum(int(x.split()[1]) for x in file if x.startswith("Pss_Anon"))
+        yield pa.RecordBatch.from_arrays([pa.array([held // 1024], pa.int64())], ["mb"])
+
+    one = spark.range(4).coalesce(1)
+    assert in_batches(one, work, "n bigint").collect()
+    assert one.mapInArrow(size, "mb bigint").first().mb < 150
