@@ -203,6 +203,25 @@ def test_folds_side_by_side_share_no_properties(spark, data, monkeypatch):
     assert seen == [True, True]
 
 
+def test_package_is_shipped_once_by_threads_side_by_side():
+    import threading
+    from multiprocessing.pool import ThreadPool
+    from types import SimpleNamespace
+
+    from tabscout.session import ship_package
+
+    paths, together = [], threading.Barrier(4, timeout=60)
+    context = SimpleNamespace(applicationId="ship-test", addPyFile=paths.append)
+
+    def ship(_):
+        together.wait()
+        ship_package(SimpleNamespace(sparkContext=context))
+
+    with ThreadPool(4) as pool:
+        pool.map(ship, range(4), chunksize=1)
+    assert len(paths) == 1
+
+
 def test_selector_round_trip(spark, data):
     from tabscout.operators import benchlog as J
 
