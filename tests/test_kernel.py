@@ -110,3 +110,34 @@ def test_few_rows_and_several_classes(spark, classes):
     df = frame(spark, x, y)
     rows = M.KernelClassifier(width=8, maxIter=5).fit(df).transform(df).select("probability").collect()
     assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in rows) and len(rows) == 12
+
+
+def test_machines_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, 2))
+    y = (x[:, 0] > 0).astype(float)
+    together = threading.Barrier(2, timeout=30)
+
+    def watch(self, rows):
+        together.wait()
+        raise InterruptedError
+
+    monkeypatch.setattr(M.LinearSVC, "_fit", watch)
+    with pytest.raises(InterruptedError):
+        M.KernelClassifier(width=8, maxIter=5).fit(frame(spark, x, y))
+    assert M._at_once(100, 32) == M.MACHINES_AT_ONCE and M._at_once(1 << 40, 32) == 1
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_margins_are_those_of_the_machine(spark, classes):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 2))
+    y = np.floor((x[:, 0] > 0) + (x[:, 1] > 0) * (classes - 2.0))
+    df = frame(spark, x, y)
+    mapped, fitted, _ = M.KernelClassifier(width=8, maxIter=5).fit(df).stages
+    held = mapped.transform(df).select("ts_kernel").coalesce(1)
+    own = [r[0].toArray() for r in fitted.transform(held).select("rawPrediction").collect()]
+    fast = [r[0].toArray() for r in M._margins(held, fitted).select("rawPrediction").collect()]
+    np.testing.assert_allclose(fast, own, rtol=1e-9, atol=1e-12)
