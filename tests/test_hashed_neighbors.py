@@ -65,3 +65,59 @@ def test_copies_far_queries_and_empty_tables(spark):
         N.neighbours(train.limit(2), query, *args, method="approximate")
     with pytest.raises(ValueError, match="unknown method"):
         N.neighbours(train, query, *args, method="guess")
+
+
+def _by_hand(query, train, keys, k):
+    apart = np.sqrt(((query[:, None, :] - train[None, :, :]) ** 2).sum(2))
+    order = np.lexsort((np.broadcast_to(keys, apart.shape), apart), axis=1)[:, :k]
+    return order, np.take_along_axis(apart, order, 1)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "alike", "many columns", "few rows"])
+def test_boxes_find_the_nearest_rows(kind):
+    rng = np.random.default_rng(7)
+    width = 30 if kind == "many columns" else 3
+    train, query = rng.standard_normal((900, width)), rng.standard_normal((70, width))
+    if kind in ("ties", "alike"):
+        train, query = (np.round(a * (kind == "ties")) for a in (train, query))
+    train = train[:4] if kind == "few rows" else train
+    keys = rng.permutation(len(train))
+    q, t, d = N._best(query, train, keys, 5)
+    order, apart = _by_hand(query, train, keys, min(5, len(train)))
+    by = np.lexsort((keys[t], d, q))
+    assert t[by].reshape(order.shape).tolist() == order.tolist()
+    np.testing.assert_allclose(d[by].reshape(apart.shape), apart, rtol=1e-12)
+
+
+def test_few_pairs_of_a_block_are_compared(monkeypatch):
+    rng = np.random.default_rng(8)
+    train, query, pairs, plain = rng.random((8192, 3)), rng.random((1024, 3)), [], N._distances
+
+    def counted(a, b):
+        pairs.append(len(a) * len(b))
+        return plain(a, b)
+
+    monkeypatch.setattr(N, "_distances", counted)
+    N._best(query, train, np.arange(len(train)), 5)
+    assert sum(pairs) < 0.1 * len(train) * len(query)
+
+
+def test_queries_go_to_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "TRAIN_BLOCK", 32)
+    rng = np.random.default_rng(9)
+    train, query = rng.random((4096, 3)), rng.random((200, 3))
+    rows = spark.createDataFrame(
+        [(i, v.tolist(), 0.0) for i, v in enumerate(train)], "key long, vector array<double>, outcome double")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(query)], "key long, vector array<double>")
+    sent, plain = [], N._send
+
+    def watch(*args):
+        found = plain(*args)
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(N, "_send", watch)
+    found = {(r["query_key"], r["rank"]): r["train_key"] for r in N.exact_neighbours(rows, asked, 5).collect()}
+    order, _ = _by_hand(query, train, np.arange(len(train)), 5)
+    assert found == {(i, j + 1): t for i, own in enumerate(order.tolist()) for j, t in enumerate(own)}
+    assert sent[0] == len(query) and sent[1] < 6 * len(query)
